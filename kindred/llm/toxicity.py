@@ -101,7 +101,11 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         rows = []
         for t in text:
             at: set[int] = set()
-            for w in text_words(t):
+            found = text_words(t)
+            if not found:
+                rows.append([0.0] * len(models))
+                continue
+            for w in found:
                 f = known.get(w)
                 if f is None:
                     f = known[w] = [column[x] for x in word_features(w) if x in column]
