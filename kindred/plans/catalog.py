@@ -1,9 +1,175 @@
-"""Registered queries of the engine."""
+"""Registered queries of the engine and their oracles, over the pedigree of ``driver_views``."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from kindred.functions import scalars as S
+from kindred.operators import filters as f
+from kindred.operators import records as R
+from kindred.plans.driver_views import SQL, pedigree, table
+
+PERSON, OTHER, FOUNDER = 149, 140, 1
+_QUERIES, _SQL = {}, {}
+
+
+def add(name, build, sql=None):
+    """build: (pedigree, spark, sf_dir) -> DataFrame. sql: what follows the common views; a leading comma adds more of them."""
+    _QUERIES[name] = lambda spark, sf_dir: build(pedigree(spark, sf_dir), spark, sf_dir)
+    if sql:
+        _SQL[name] = SQL + ("" if sql.lstrip().startswith(",") else " ") + sql
+
+
+# relatives of everyone
+add("parents", lambda p, *_: p.relatives("parents"), "SELECT DISTINCT child AS xref, parent AS relative FROM pe")
+add("children", lambda p, *_: p.relatives("children"), "SELECT DISTINCT parent AS xref, child AS relative FROM pe")
+add("siblings", lambda p, *_: p.relatives("siblings"), "SELECT DISTINCT a AS xref, b AS relative FROM sib")
+add("spouses", lambda p, *_: p.relatives("spouses"), "SELECT DISTINCT a AS xref, b AS relative FROM se")
+add("grandparents", lambda p, *_: p.relatives("grandparents"), "SELECT x.child AS xref, y.parent AS relative FROM pe x JOIN pe y ON x.parent = y.child")
+add("grandchildren", lambda p, *_: p.relatives("grandchildren"), "SELECT x.parent AS xref, y.child AS relative FROM pe x JOIN pe y ON x.child = y.parent")
+add("uncles", lambda p, *_: p.relatives("uncles"), "SELECT x.child AS xref, s.b AS relative FROM (SELECT DISTINCT child, parent FROM pe) x JOIN (SELECT DISTINCT a, b FROM sib) s ON x.parent = s.a")
+add("nephews", lambda p, *_: p.relatives("nephews"), "SELECT s.a AS xref, x.child AS relative FROM (SELECT DISTINCT a, b FROM sib) s JOIN (SELECT DISTINCT child, parent FROM pe) x ON x.parent = s.b")
+
+# recursion
+UP = ", anc(root, xref, depth) AS (SELECT xref, xref, 0 FROM ind WHERE {where} UNION SELECT root, parent, depth + 1 FROM anc JOIN pe ON child = xref{limit}), c AS (SELECT root, xref, CAST(min(depth) AS BIGINT) AS depth FROM anc GROUP BY 1, 2) "
+DOWN = UP.replace("SELECT root, parent, depth", "SELECT root, child, depth").replace("ON child = xref", "ON parent = xref")
+one = lambda x: f"xref = {x}"
+add("ancestors", lambda p, *_: p.closure(p.roots(PERSON)).select("xref", "depth"), UP.format(where=one(PERSON), limit="") + "SELECT xref, depth FROM c WHERE depth > 0")
+add("ancestors_max_gen", lambda p, *_: p.closure(p.roots(PERSON), max_generations=2).select("xref", "depth"), UP.format(where=one(PERSON), limit=" WHERE depth < 2") + "SELECT xref, depth FROM c WHERE depth > 0")
+add("ancestors_all", lambda p, *_: p.closure(p.individuals.select("xref")), UP.format(where="true", limit="") + "SELECT * FROM c WHERE depth > 0")
+add("ancestors_count", lambda p, *_: p.closure(p.individuals.select("xref")).groupBy("root").agg(F.count("*").alias("n")), UP.format(where="true", limit="") + "SELECT root, count(*) AS n FROM c WHERE depth > 0 GROUP BY 1")
+add("descendants", lambda p, *_: p.closure(p.roots(FOUNDER), False).select("xref", "depth"), DOWN.format(where=one(FOUNDER), limit="") + "SELECT xref, depth FROM c WHERE depth > 0")
+add("descendants_max_gen", lambda p, *_: p.closure(p.roots(FOUNDER), False, 2).select("xref", "depth"), DOWN.format(where=one(FOUNDER), limit=" WHERE depth < 2") + "SELECT xref, depth FROM c WHERE depth > 0")
+add("descendants_count", lambda p, *_: p.closure(p.roots(FOUNDER), False).agg(F.count("*").alias("n")), DOWN.format(where=one(FOUNDER), limit="") + "SELECT count(*) AS n FROM c WHERE depth > 0")
+add("multi_ancestors", lambda p, *_: p.closure(p.roots(PERSON, OTHER)).select("xref").distinct(), UP.format(where=f"xref IN ({PERSON}, {OTHER})", limit="") + "SELECT DISTINCT xref FROM c WHERE depth > 0")
+COMMON = UP.format(where=f"xref IN ({PERSON}, {OTHER})", limit="").rstrip() + f", ca AS (SELECT x.xref, x.depth AS depth_a, y.depth AS depth_b FROM c x JOIN c y ON x.xref = y.xref WHERE x.root = {PERSON} AND y.root = {OTHER}) "
+add("common_ancestors", lambda p, *_: p.common_ancestors(PERSON, OTHER), COMMON + "SELECT * FROM ca")
+add("lca", lambda p, *_: p.lowest_common_ancestor(PERSON, OTHER), COMMON + "SELECT * FROM ca ORDER BY greatest(depth_a, depth_b), depth_a + depth_b, xref LIMIT 1")
+add("multi_common_ancestors", lambda p, *_: p.multi_common_ancestors(PERSON, OTHER, 130), UP.format(where=f"xref IN ({PERSON}, {OTHER}, 130)", limit="") + "SELECT xref FROM c GROUP BY 1 HAVING count(DISTINCT root) = 3")
+add("intersection_q", lambda p, *_: p.closure(p.roots(PERSON)).select("xref").intersect(p.closure(p.roots(OTHER)).select("xref")), COMMON + "SELECT xref FROM ca WHERE depth_a > 0 AND depth_b > 0")
+add("subtree", lambda p, *_: p.subtree(20, up=3, down=3), ", up(x, d) AS (SELECT 20, 0 UNION SELECT parent, d + 1 FROM up JOIN pe ON child = x WHERE d < 3), dn(x, d) AS (SELECT 20, 0 UNION SELECT child, d + 1 FROM dn JOIN pe ON parent = x WHERE d < 3), "
+    "u AS (SELECT 20 AS xref, 0 AS i, 'self' AS part UNION ALL SELECT x, 1, 'ancestor' FROM up WHERE d > 0 UNION ALL SELECT x, 2, 'descendant' FROM dn WHERE d > 0 UNION ALL SELECT b, 3, 'sibling' FROM sib WHERE a = 20 UNION ALL SELECT b, 4, 'spouse' FROM se WHERE a = 20) "
+    "SELECT CAST(xref AS BIGINT) AS xref, arg_min(part, i) AS part FROM u GROUP BY 1")
+KIN = UP.format(where="xref < 150", limit="").rstrip() + """, m AS (SELECT x.root AS a, y.root AS b, x.depth AS da, y.depth AS db, row_number() OVER (PARTITION BY x.root, y.root ORDER BY greatest(x.depth, y.depth), x.depth + y.depth, x.xref) AS r FROM c x JOIN c y ON x.xref = y.xref AND x.root <> y.root),
+ k AS (SELECT a, b, da AS depth_a, db AS depth_b, least(da, db) - 1 AS deg, abs(da - db) AS rem FROM m WHERE r = 1),
+ l AS (SELECT a, b, depth_a, depth_b, CASE WHEN depth_a = 0 AND depth_b = 1 THEN 'parent' WHEN depth_a = 1 AND depth_b = 0 THEN 'child' WHEN depth_b = 0 THEN 'ancestor' WHEN depth_a = 0 THEN 'descendant' WHEN deg = 0 AND rem = 0 THEN 'sibling'
+  WHEN deg = 1 AND rem = 0 THEN 'cousin' WHEN deg = 1 AND rem = 1 THEN 'cousin once removed' WHEN deg = 1 THEN 'cousin ' || rem || ' times removed' WHEN deg > 1 AND rem = 0 THEN deg || 'th cousin' ELSE 'distant relative' END AS label,
+  CASE WHEN least(depth_a, depth_b) = 0 THEN depth_a + depth_b ELSE deg END AS degree, CASE WHEN least(depth_a, depth_b) = 0 THEN 0 ELSE rem END AS removal FROM k) """
+add("kinship_label", lambda p, *_: p.kinship(p.individuals.filter("xref < 150").select("xref")), KIN + "SELECT * FROM l")
+add("cousins_1", lambda p, *_: p.kinship(p.individuals.filter("xref < 150").select("xref")).filter("label = 'cousin'").select("a", "b"), KIN + "SELECT a, b FROM l WHERE label = 'cousin'")
+
+# paths and metrics
+HOPS = ", bfs(source, node, hops) AS (SELECT 'I149', 'I149', 0 UNION SELECT source, dst, hops + 1 FROM bfs JOIN edge ON src = node WHERE hops < 6), d AS (SELECT source, node, CAST(min(hops) AS BIGINT) AS hops FROM bfs GROUP BY 1, 2) "
+add("shortest_path_length", lambda p, *_: p.distances(p.roots(PERSON), 6), HOPS + "SELECT * FROM d")
+add("closeness_sample", lambda p, *_: p.distances(p.roots(PERSON), 6).filter("hops > 0 and node like 'I%'").groupBy("source").agg(F.round(1 / F.avg("hops"), 6).alias("closeness")), HOPS + "SELECT source, round(1 / avg(hops), 6) AS closeness FROM d WHERE hops > 0 AND node LIKE 'I%' GROUP BY 1")
+add("diameter_bounded", lambda p, *_: p.distances(p.roots(PERSON), 6).agg(F.max("hops").alias("diameter")), HOPS + "SELECT max(hops) AS diameter FROM d")
+add("avg_path_length_bounded", lambda p, *_: p.distances(p.roots(PERSON), 6).filter("hops > 0 and node like 'I%'").agg(F.round(F.avg("hops"), 6).alias("mean_hops")), HOPS + "SELECT round(avg(hops), 6) AS mean_hops FROM d WHERE hops > 0 AND node LIKE 'I%'")
+add("all_paths_bounded", lambda p, *_: p.all_paths(20, 21, 4).select(F.array_join("nodes", ">").alias("nodes"), "length", "path_type"),
+    ", w(nodes, t, last, n) AS (SELECT ['I20'], CAST([] AS VARCHAR[]), 'I20', 0 UNION ALL SELECT list_append(nodes, dst), list_append(t, edge_type), dst, n + 1 FROM w JOIN edge ON src = last WHERE n < 4 AND last <> 'I21' AND NOT list_contains(nodes, dst)) "
+    "SELECT array_to_string(nodes, '>') AS nodes, CAST(n AS BIGINT) AS length, CASE WHEN list_has_any(t, ['FAMC', 'CHIL']) AND list_has_any(t, ['HUSB', 'WIFE', 'FAMS']) THEN 'mixed' WHEN list_has_any(t, ['HUSB', 'WIFE', 'FAMS']) THEN 'marital' ELSE 'blood' END AS path_type FROM w WHERE last = 'I21'")
+DEGREE = "(SELECT node, sum(o) AS out_degree, sum(i) AS in_degree, sum(o + i) AS degree FROM (SELECT src AS node, 1 AS o, 0 AS i FROM edge UNION ALL SELECT dst, 0, 1 FROM edge) GROUP BY 1)"
+add("degree", lambda p, *_: p.degrees(), f"SELECT node, CAST(out_degree AS BIGINT) AS out_degree, CAST(in_degree AS BIGINT) AS in_degree, CAST(degree AS BIGINT) AS degree FROM {DEGREE}")
+add("avg_degree", lambda p, *_: p.degrees().filter("node like 'I%'").agg(F.round(F.avg("degree"), 6).alias("avg_degree")), f"SELECT round(avg(degree), 6) AS avg_degree FROM {DEGREE} WHERE node LIKE 'I%'")
+add("node_edge_count", lambda p, *_: p.individuals.agg(F.count("*").alias("people")).join(p.families.agg(F.count("*").alias("families"))).join(p.edges.agg(F.count("*").alias("edges"))),
+    "SELECT (SELECT count(*) FROM ind) AS people, (SELECT count(*) FROM fam) AS families, (SELECT count(*) FROM edge) AS edges")
+add("density", lambda p, *_: p.edges.agg(F.count("*").alias("e")).join(p.degrees().agg(F.count("*").alias("n"))).select(F.round(F.col("e") / (F.col("n") * (F.col("n") - 1)), 9).alias("density")), f"SELECT round((SELECT count(*) FROM edge) / (n * (n - 1)), 9) AS density FROM (SELECT CAST(count(*) AS DOUBLE) AS n FROM {DEGREE})")
+add("components", lambda p, *_: p.components(), None)
+add("component_sizes", lambda p, *_: p.components().groupBy("component").agg(F.count("*").alias("n")), None)
+add("is_connected", lambda p, *_: p.components().filter(F.col("xref").isin(PERSON, OTHER)).agg((F.countDistinct("component") == 1).alias("connected")), None)
+add("cycles", lambda p, *_: p.cycles(), "SELECT CAST(0 AS BIGINT) AS xref WHERE false")
+
+# filters
+COLS = ["xref", "name"]
+for name, cond, sql in [
+    ("name_contains", f.contains("name", "CUSTOMER"), "contains(lower(name), 'customer')"), ("name_exact", f.equals("surname", "nation_3"), "lower(surname) = 'nation_3'"),
+    ("name_starts", f.starts("name", "c"), "starts_with(lower(name), 'c')"), ("name_ends", f.ends("name", "7"), "ends_with(lower(name), '7')"),
+    ("surname_contains", f.contains("surname", "a"), "contains(lower(surname), 'a')"), ("given_exact", f.equals("given", "building"), "lower(given) = 'building'"),
+    ("given_contains", f.contains("given", "au"), "contains(lower(given), 'au')"), ("place_contains", f.contains("birth_place", "asia"), "contains(lower(birth_place), 'asia')"),
+    ("birth_range", f.born_between("1993-01-01", "1995-06-30"), "birth_date BETWEEN DATE '1993-01-01' AND DATE '1995-06-30'"), ("birth_before", f.born_before(1993), "birth_date <= DATE '1993-12-31'"),
+    ("birth_after", f.born_after(1994), "birth_date >= DATE '1994-01-01'"), ("birth_year", f.born_in(1993), "year(birth_date) = 1993"), ("birth_month", f.born_in_month(5), "month(birth_date) = 5"),
+    ("birth_day", f.born_on_day(12), "day(birth_date) = 12"), ("birth_month_day", f.born_in_month(3) & f.born_on_day(3), "month(birth_date) = 3 AND day(birth_date) = 3"),
+    ("by_sex", f.sex("f"), "sex = 'F'"), ("living", f.living(), "death_date IS NULL"), ("deceased", f.deceased(), "death_date IS NOT NULL"),
+    ("combined", f.sex("M") & f.living() & f.born_after(1992) & f.contains("birth_place", "a"), "sex = 'M' AND death_date IS NULL AND birth_date >= DATE '1992-01-01' AND contains(lower(birth_place), 'a')")]:
+    add(name, lambda p, *_, cond=cond: p.individuals.filter(cond).select(*COLS), f"SELECT xref, name FROM ind WHERE {sql}")
+for name, edge, column, want, sql in [("has_children", "parent_edge", "parent", True, "xref IN (SELECT parent FROM pe)"), ("no_children", "parent_edge", "parent", False, "xref NOT IN (SELECT parent FROM pe)"),
+                                      ("has_spouse", "spouse_edge", "a", True, "xref IN (SELECT a FROM se)"), ("no_spouse", "spouse_edge", "a", False, "xref NOT IN (SELECT a FROM se)")]:
+    add(name, lambda p, *_, e=edge, c=column, w=want: f.with_relatives(p.individuals, getattr(p, e), c, w).select(*COLS), f"SELECT xref, name FROM ind WHERE {sql}")
+add("sorted_top", lambda p, *_: f.top(p.individuals, "birth_date", 20).select("xref", "birth_date"), "SELECT xref, birth_date FROM ind ORDER BY birth_date NULLS LAST, xref LIMIT 20")
+
+# collections
+add("names_unique_surname", lambda p, *_: p.individuals.select("surname").distinct(), "SELECT DISTINCT surname FROM ind")
+add("names_unique_given_surname", lambda p, *_: p.individuals.select(F.concat_ws("|", "given", "surname").alias("key")).distinct(), "SELECT DISTINCT given || '|' || surname AS key FROM ind")
+add("places_unique_state", lambda p, *_: p.individuals.select(S.parse_place(F.col("birth_place"))["state"].alias("state")).distinct(), "SELECT DISTINCT trim(string_split(birth_place, ',')[2]) AS state FROM ind")
+add("top_given", lambda p, *_: R.most_common(p.individuals, "given", 5), "SELECT lower(trim(given)) AS name, count(*) AS n FROM ind GROUP BY 1 ORDER BY n DESC, name LIMIT 5")
+add("top_surname", lambda p, *_: R.most_common(p.individuals, "surname", 5), "SELECT lower(trim(surname)) AS name, count(*) AS n FROM ind GROUP BY 1 ORDER BY n DESC, name LIMIT 5")
+add("families_unique_children", lambda p, *_: R.distinct_by(p.children.groupBy("family").agg(F.count("*").alias("n_children")), ["n_children"], "family"), "SELECT count AS n_children, min(family) AS family FROM (SELECT family, count(*) AS count FROM chil GROUP BY 1) GROUP BY 1")
+add("families_unique_marriage", lambda p, *_: R.distinct_by(p.families.filter("marriage_date is not null").select("marriage_date", "family"), ["marriage_date"], "family"), "SELECT marriage_date, min(family) AS family FROM fam WHERE marriage_date IS NOT NULL GROUP BY 1")
+add("events_unique_type", lambda p, s, d: R.distinct_by(table(s, d, "events").select("event_type", "event_id"), ["event_type"], "event_id"), "SELECT event_type, min(event_id) AS event_id FROM events GROUP BY 1")
+add("events_on_date", lambda p, s, d: table(s, d, "events").filter((F.month("ts") == 1) & (F.dayofmonth("ts") == 2)).select("event_id", "event_type"), "SELECT event_id, event_type FROM events WHERE month(ts) = 1 AND day(ts) = 2")
+add("events_of_person", lambda p, s, d: table(s, d, "events").filter("user_id = 20").select("event_id", "event_type"), "SELECT event_id, event_type FROM events WHERE user_id = 20")
+add("union_q", lambda p, *_: p.individuals.filter(f.sex("M") & f.living()).select("xref").union(p.individuals.filter(f.born_in(1993)).select("xref")).distinct(), "SELECT xref FROM ind WHERE sex = 'M' AND death_date IS NULL UNION SELECT xref FROM ind WHERE year(birth_date) = 1993")
+
+# rules
+AGE = "year({t}) - year({b}) - CASE WHEN strftime({t}, '%m%d') < strftime({b}, '%m%d') THEN 1 ELSE 0 END"
+for name, sql in [
+    ("missing_birth", "SELECT xref, CAST(NULL AS BIGINT) AS detail FROM ind WHERE birth_date IS NULL"), ("death_before_birth", "SELECT xref, CAST(birth_date - death_date AS BIGINT) AS detail FROM ind WHERE death_date < birth_date"),
+    ("parent_age", f"SELECT parent AS xref, CAST(age AS BIGINT) AS detail FROM (SELECT parent, {AGE.format(t='c.birth_date', b='q.birth_date')} AS age FROM pe JOIN ind c ON c.xref = child JOIN ind q ON q.xref = parent) WHERE age < 10 OR age > 80"),
+    ("marriage_age", f"SELECT xref, CAST(age AS BIGINT) AS detail FROM (SELECT xref, {AGE.format(t='marriage_date', b='birth_date')} AS age FROM fam JOIN ind ON xref IN (husband, wife)) WHERE age < 12 OR age > 100"),
+    ("dangling_refs", "SELECT CAST(xref AS BIGINT) AS xref, CAST(NULL AS BIGINT) AS detail FROM (SELECT husband AS xref FROM fam UNION SELECT wife FROM fam UNION SELECT child FROM chil) WHERE xref NOT IN (SELECT xref FROM ind)"),
+    ("missing_parents", "SELECT xref, CAST(NULL AS BIGINT) AS detail FROM ind WHERE xref NOT IN (SELECT child FROM pe)")]:
+    add(name, lambda p, *_, n=name: R.RULES[n](p), sql)
+add("issues_by_severity", lambda p, *_: R.validate(p, ["missing_birth", "missing_parents"]).groupBy("severity").agg(F.count("*").alias("n")), "SELECT 'info' AS severity, (SELECT count(*) FROM ind WHERE birth_date IS NULL) + (SELECT count(*) FROM ind WHERE xref NOT IN (SELECT child FROM pe)) AS n")
+add("completeness", lambda p, *_: R.completeness(p.individuals), "SELECT " + ", ".join(f"round(avg(CASE WHEN {c} IS NULL THEN 0.0 ELSE 1.0 END), 6) AS {c}" for c in ("name", "birth_date", "death_date", "birth_place", "sex")) + " FROM ind")
+
+# duplicates
+CODE = "translate(regexp_replace(substr(s, 2), '[AEIOUYHW]', '', 'g'), 'BFPVCGJKQSXZDTLMNR', '111122222222334556')"
+for digit in "123456":
+    CODE = f"regexp_replace({CODE}, '{digit}+', '{digit}', 'g')"
+CODE = f"CASE WHEN s = '' THEN '' ELSE s[1] || rpad(substr({CODE}, 1, 3), 3, '0') END"
+LETTERS = "(SELECT *, regexp_replace(upper(surname), '[^A-Z]', '', 'g') AS s FROM ind)"
+KEYS = f""", x AS (SELECT *, {CODE} AS sx, year(birth_date) AS y FROM {LETTERS}),
+ k AS (SELECT xref, 'P' || sx || '|' || y AS key FROM x WHERE y IS NOT NULL UNION ALL SELECT xref, 'B' || sx || '|' || (y // 5) FROM x WHERE y IS NOT NULL
+ UNION ALL SELECT xref, 'I' || sx || '|' || lower(given)[1] FROM x WHERE given <> '' UNION ALL SELECT xref, 'G' || sx || '|' || substr(lower(given), 1, 2) FROM x WHERE length(given) > 1
+ UNION ALL SELECT xref, 'X' || lower(substr(surname, 1, 4)) || '|' || lower(split_part(birth_place, ',', 1)) FROM x WHERE birth_place IS NOT NULL) """
+PAIRS = KEYS.rstrip() + ", g AS (SELECT key FROM k GROUP BY 1 HAVING count(*) BETWEEN 2 AND 5000), q AS (SELECT DISTINCT u.xref AS a, v.xref AS b FROM k u JOIN k v ON u.key = v.key AND u.xref < v.xref WHERE u.key IN (SELECT key FROM g)) "
+add("soundex_codes", lambda p, *_: p.individuals.select("xref", S.soundex(F.col("surname")).alias("code")),
+    f"SELECT xref, {CODE} AS code FROM {LETTERS}")
+add("block_sizes", lambda p, *_: R.block_sizes(p.individuals), KEYS + "SELECT key, count(*) AS n FROM k GROUP BY 1")
+add("candidate_pairs", lambda p, *_: R.candidate_pairs(p.individuals), PAIRS + "SELECT a, b FROM q")
+add("duplicates_scored", lambda p, *_: R.score_pairs(R.candidate_pairs(p.individuals), p.individuals), None)
+add("levenshtein_names", lambda p, *_: p.individuals.select("xref", F.levenshtein("given", "surname").cast("long").alias("d")), "SELECT xref, levenshtein(given, surname) AS d FROM ind")
+
+# differences: the second snapshot lacks every eleventh person, has new ones and other values
+NEW = "SELECT xref + CASE WHEN xref % 13 = 0 THEN 1000000 ELSE 0 END AS xref, CASE WHEN xref % 7 = 0 THEN name || '*' ELSE name END AS name, sex, CASE WHEN xref % 5 = 0 THEN NULL ELSE birth_place END AS birth_place FROM ind WHERE xref % 11 <> 0"
+
+
+def _diff(p):
+    old = p.individuals.select("xref", "name", "sex", "birth_place")
+    x = F.col("xref")
+    new = old.filter(x % 11 != 0).select((x + F.when(x % 13 == 0, 1000000).otherwise(0)).alias("xref"), F.when(x % 7 == 0, F.concat("name", F.lit("*"))).otherwise(F.col("name")).alias("name"), "sex", F.when(x % 5 != 0, F.col("birth_place")).alias("birth_place"))
+    return R.diff(old, new)
+
+
+D = f", n AS ({NEW}) "
+add("diff_added", lambda p, *_: _diff(p).filter("change = 'added'").select("xref"), D + "SELECT xref FROM n WHERE xref NOT IN (SELECT xref FROM ind)")
+add("diff_removed", lambda p, *_: _diff(p).filter("change = 'removed'").select("xref"), D + "SELECT xref FROM ind WHERE xref NOT IN (SELECT xref FROM n)")
+FIELDS = " UNION ALL ".join(f"SELECT xref, '{c}' AS field, ind.{c} AS old, n.{c} AS new FROM ind JOIN n USING (xref) WHERE ind.{c} IS DISTINCT FROM n.{c}" for c in ("name", "sex", "birth_place"))
+add("diff_fields", lambda p, *_: _diff(p).filter("change = 'modified'").select("xref", "field", "old", "new"), D + FIELDS)
+add("diff_summary", lambda p, *_: _diff(p).groupBy("change").agg(F.countDistinct("xref").alias("n")), D + f"SELECT 'added' AS change, count(*) AS n FROM n WHERE xref NOT IN (SELECT xref FROM ind) UNION ALL SELECT 'removed', count(*) FROM ind WHERE xref NOT IN (SELECT xref FROM n) UNION ALL SELECT 'modified', count(DISTINCT xref) FROM ({FIELDS})")
+
+# scalars
+DATES = "CASE xref % 4 WHEN 0 THEN 'ABT ' || year(birth_date) WHEN 1 THEN day(birth_date) || ' mar ' || year(birth_date) WHEN 2 THEN 'BET ' || year(birth_date) || ' AND ' || (year(birth_date) + 2) ELSE 'no date' END"
+add("date_parse", lambda p, *_: p.individuals.filter("birth_date is not null").select("xref", S.parse_date(F.expr(DATES)).alias("p")).select("xref", "p.type", F.col("p.y").cast("long").alias("y"), F.col("p.m").cast("long").alias("m"), S.earliest(F.col("p")).alias("earliest"), S.latest(F.col("p")).alias("latest")),
+    "SELECT xref, CASE xref % 4 WHEN 0 THEN 'about' WHEN 1 THEN 'exact' WHEN 2 THEN 'between' ELSE 'invalid' END AS type, CASE WHEN xref % 4 < 3 THEN year(birth_date) END AS y, CAST(CASE WHEN xref % 4 = 1 THEN 3 END AS BIGINT) AS m, "
+    "CASE WHEN xref % 4 = 1 THEN make_date(year(birth_date), 3, day(birth_date)) WHEN xref % 4 < 3 THEN make_date(year(birth_date), 1, 1) END AS earliest, "
+    "CASE xref % 4 WHEN 0 THEN make_date(year(birth_date), 12, 31) WHEN 1 THEN make_date(year(birth_date), 3, day(birth_date)) WHEN 2 THEN make_date(year(birth_date) + 2, 12, 31) END AS latest FROM ind WHERE birth_date IS NOT NULL")
+add("place_parse", lambda p, *_: p.individuals.select("xref", S.parse_place(F.concat(F.lit("Town, "), "birth_place")).alias("p")).select("xref", "p.city", "p.state", "p.country"), "SELECT xref, 'Town' AS city, trim(string_split(birth_place, ',')[1]) AS state, trim(string_split(birth_place, ',')[2]) AS country FROM ind")
+add("name_parse", lambda p, *_: p.individuals.select("xref", S.parse_name(F.concat("given", F.lit(" /"), "surname", F.lit("/"))).alias("n")).select("xref", "n.given", "n.surname"), "SELECT xref, given, surname FROM ind")
 
 
 def queries():
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(_SQL)
