@@ -100,7 +100,7 @@ COUNTRIES = ["USA", "US", "UNITED STATES", "UK", "UNITED KINGDOM", "ENGLAND", "C
 
 def parse_place(c: Column) -> Column:
     """struct(city, county, state, country) of comma parts; the second of two is a country if it holds a country's word."""
-    p = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), F.trim), lambda x: x != "")
+    p = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
     n, at = F.size(p), lambda i: F.get(p, F.lit(i))
     country2 = F.upper(at(1)).rlike("|".join(COUNTRIES))
     return F.struct(

@@ -152,7 +152,7 @@ class Pedigree:
             hit = now.filter(F.element_at("nodes", -1) == goal)
             found = hit if found is None else found.unionByName(hit)
             now = now.filter(F.element_at("nodes", -1) != goal)
-        blood, marital = (F.exists("edge_types", lambda t, k=k: t.isin(*k)) for k in (("FAMC", "CHIL"), ("HUSB", "WIFE", "FAMS")))
+        blood, marital = (F.arrays_overlap("edge_types", F.array(*[F.lit(x) for x in k])) for k in (("FAMC", "CHIL"), ("HUSB", "WIFE", "FAMS")))
         kind = F.when(blood & marital, "mixed").when(marital, "marital").otherwise("blood")
         return found.select("nodes", "edge_types", F.size("edge_types").cast("long").alias("length"), kind.alias("path_type"))
 
