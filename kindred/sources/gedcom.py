@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from kindred.functions import scalars as S
 from kindred.operators.pedigree import Pedigree
+from kindred.plans.store import materialize
 
 LINE = r"^(\d+) (?:(@[^@ ]+@) )?(\S+)(?: (.*))?$"
 
@@ -46,7 +47,7 @@ def _child(all_: DataFrame, above: str, tag: str, name: str) -> DataFrame:
 
 def read_pedigree(spark: SparkSession, path: str) -> Pedigree:
     """One file's (or folder's) pedigree; of records with one xref the last line wins."""
-    every = lines(spark, path)
+    every = materialize(lines(spark, path))
     heads = every.filter("level = 0 and xref is not null").select("file_id", "record", "xref", "tag")
     last = heads.groupBy("file_id", "tag", "xref").agg(F.max("record").alias("record"))
     keys = ["file_id", "record"]
