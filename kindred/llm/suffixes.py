@@ -1,10 +1,12 @@
 """Operator 7, removal of 100-byte strings that start earlier in the corpus, by hash-compared suffix sorting.
 
 Each 100-byte window has one anchor, the least 50-byte hash in it; equal windows have equal anchors at equal places. Runs of
-windows with one anchor are the unit: runs with equal bytes are folded to the earliest, and only runs whose anchor occurs with
-different bytes around it are sorted, as suffixes, by mergesort; a comparison finds the common extension from prefix polynomial
-hashes by binary search, and equal neighbours are verified byte by byte. Equal whole texts are folded first (SHA-256). Null text
-counts as empty. doc_id orders the documents and should be unique.
+windows with one anchor are the unit: runs with equal bytes are folded to the earliest, within each task's buffer before the one
+shuffle of runs, and only runs whose anchor occurs with different bytes around it are sorted, as suffixes, by mergesort; a
+comparison finds the common extension from prefix polynomial hashes by binary search, and equal neighbours are verified byte by
+byte. An anchor with over HOT different runs is spread by the 64-bit hashes of its windows, which fold to the earliest. Equal
+whole texts are folded first (SHA-256). Null text counts as empty; null doc_ids take no part. doc_id orders the documents and
+should be unique.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 from kindred.plans.store import materialize
 
-SIZE, ANCHOR, BUFFER = 100, 50, 1 << 23
+SIZE, ANCHOR, BUFFER, HOT = 100, 50, 1 << 23, 256
 BASE = 0x9E3779B97F4A7C15
 U = np.uint64
 
@@ -148,60 +150,142 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(s[new].tolist(), e[np.concatenate((new[1:] - 1, [len(e) - 1]))].tolist()))
 
 
-def repeated_spans(docs: DataFrame, bucket_rows: int = 20_000) -> DataFrame:
-    """(doc_id long, text) -> docs with ``_spans`` (array of struct(s, e), unmerged; null if none) and ``_copy`` (equal to an earlier text)."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    keyed = materialize(texts.select("doc", F.sha2("text", 256).alias("d")))
+def local_fold(key: tuple[np.ndarray, ...], doc: np.ndarray, lo: np.ndarray, end: np.ndarray):
+    """Rows of equal key: indices of each key's earliest, and the merged spans (doc, s, e) of the rest. Ends grow with lo within a document."""
+    order = np.lexsort((lo, doc, *key))
+    same = np.ones(max(0, len(order) - 1), bool)
+    for k in key:
+        same &= k[order][1:] == k[order][:-1]
+    again = np.concatenate((np.zeros(min(1, len(order)), bool), same))
+    late = order[again]
+    late = late[np.lexsort((lo[late], doc[late]))]
+    d, s, e = doc[late], lo[late], end[late]
+    if not len(d):
+        return order[~again], d, s, e
+    new = np.nonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (s[1:] > e[:-1]))))[0]
+    return order[~again], d[new], s[new], e[np.concatenate((new[1:], [len(d)])) - 1]
+
+
+def spread(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A key for rows that need no company."""
+    return mix(doc.astype(U) * U(BASE) + at.astype(U)).view(np.int64)
+
+
+def window_keys(runs: list[bytes], anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Run, step and hash of each window of the runs."""
+    counts = np.array([len(r) - SIZE + 1 for r in runs])
+    run = np.repeat(np.arange(len(runs)), counts)
+    step = np.arange(len(run)) - np.repeat(np.cumsum(counts) - counts, counts)
+    begins = np.cumsum(counts + SIZE - 1) - (counts + SIZE - 1)
+    h = Hashes(np.frombuffer(b"".join(runs), np.uint8))
+    return run, step, mix(h.of(begins[run] + step, SIZE) ^ mix(anchors.view(U)[run])).view(np.int64)
+
+
+RUN, FOUND, CUT = "h long, c long, doc long, at long", "doc long, s int, e int, h long, rel short, hot boolean", "h long, doc long, lo int, e int, rel short, run binary"
+WINDOW, SPAN = -1, -2  # rel of a lone window, and of a span that is known to be repeated
+
+
+def find_runs(batches):
+    """(doc, text) -> RUN rows. at: lo, cnt and rel in one number; or, of spans repeated in the same buffer, -1 - start, with the end in c."""
+    for b in batches:
+        ids, raws = b.column(0).to_numpy(), [t.encode() for t in b.column(1).to_pylist()]
+        i = 0
+        while i < len(raws):
+            j, total = i + 1, len(raws[i])
+            while j < len(raws) and total + len(raws[j]) <= BUFFER:
+                total, j = total + len(raws[j]), j + 1
+            if (found := anchor_runs(raws[i:j])) is not None:
+                d, lo, cnt, rel, h, c = found
+                doc, h, c = ids[i:j][d], h.view(np.int64), c.view(np.int64)
+                first, sd, ss, se = local_fold((c, h), doc, lo, lo + cnt + SIZE - 1)
+                at = (lo << 16 | cnt << 8 | rel)[first]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in ((h[first], spread(sd, ss)), (c[first], se), (doc[first], sd), (at, -1 - ss))], names=["h", "c", "doc", "at"])
+            i = j
+
+
+def fold_runs(batches):
+    """RUN rows in order of h, c, doc, at -> FOUND rows: spans (h null), and the runs to sort of anchors with different runs."""
+
+    def decide(h, c, doc, at):
+        known = at < 0
+        sd, ss, se = doc[known], -1 - at[known], c[known]
+        h, c, doc, at = (x[~known] for x in (h, c, doc, at))
+        lo, end, rel = at >> 16, (at >> 16) + (at >> 8 & 255) + SIZE - 1, at & 255
+        start = min(1, len(h))
+        new_h = np.concatenate((np.ones(start, bool), h[1:] != h[:-1]))
+        new = new_h | np.concatenate((np.ones(start, bool), c[1:] != c[:-1]))
+        kinds = np.bincount(np.cumsum(new_h)[new], minlength=int(new_h.sum()) + 1)[np.cumsum(new_h)]
+        ask = new & (kinds > 1)
+        n, k = len(sd) + int((~new).sum()), int(ask.sum())
+        none = np.arange(n + k) < n
+        pad = np.zeros(n, np.int64)
+        cols = [np.concatenate((sd, doc[~new], doc[ask])), np.concatenate((ss, lo[~new], lo[ask])), np.concatenate((se, end[~new], end[ask])), np.concatenate((pad, h[ask])), np.concatenate((pad, rel[ask])), np.concatenate((pad, kinds[ask])) > HOT]
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int16(), pa.bool_()]
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(t.to_pandas_dtype()), t, mask=none if i == 3 else None) for i, (x, t) in enumerate(zip(cols, types))], names=["doc", "s", "e", "h", "rel", "hot"])
+
+    kept = None  # the last anchor's rows, which the next batch may go on with
+    for b in batches:
+        if not b.num_rows:
+            continue
+        now = [b.column(i).to_numpy() for i in range(4)]
+        now = now if kept is None else [np.concatenate(x) for x in zip(kept, now)]
+        cut = int(np.searchsorted(now[0], now[0][-1]))
+        kept = [x[cut:] for x in now]
+        if cut:
+            yield decide(*(x[:cut] for x in now))
+    if kept is not None:
+        yield decide(*kept)
+
+
+def cut_runs(batches, step: int = 256):
+    """(doc, text, asked) -> CUT rows: the bytes of runs, but of hot anchors each window's hash, folded within the step."""
+    for big in batches:
+        for at in range(0, big.num_rows, step):
+            out, hot = [], []
+            b = big.slice(at, step)
+            for doc, text, wanted in zip(*(b.column(i).to_pylist() for i in range(3))):
+                raw = text.encode()
+                for r in wanted:
+                    run = raw[r["s"] : r["e"]]
+                    hot.append((r["h"], doc, r["s"], run)) if r["hot"] else out.append((r["h"], doc, r["s"], r["e"], r["rel"], run))
+            if hot:
+                run, off, key = window_keys([x[3] for x in hot], np.array([x[0] for x in hot], np.int64))
+                doc, lo = np.array([x[1] for x in hot])[run], np.array([x[2] for x in hot])[run] + off
+                first, sd, ss, se = local_fold((key,), doc, lo, lo + SIZE)
+                out += [(*x, WINDOW, None) for x in zip(key[first].tolist(), doc[first].tolist(), lo[first].tolist(), (lo[first] + SIZE).tolist())]
+                out += [(*x, SPAN, None) for x in zip(spread(sd, ss).tolist(), sd.tolist(), ss.tolist(), se.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int16(), pa.binary()))], names=["h", "doc", "lo", "e", "rel", "run"])
+
+
+def sort_runs(table: pa.Table) -> pa.Table:
+    """CUT rows of a bucket -> (doc, s, e): spans of windows with an equal one in an earlier place."""
+    h, doc, lo, end, rel = (table.column(c).to_numpy().astype(np.int64) for c in ("h", "doc", "lo", "e", "rel"))
+    run, lone, span = rel >= 0, rel == WINDOW, rel == SPAN
+    d, s = later_windows(doc[run], lo[run], rel[run], h[run], table.column("run").filter(pa.array(run)).to_pylist()) if run.any() else (doc[:0], lo[:0])
+    _, wd, ws, we = local_fold((h[lone],), doc[lone], lo[lone], end[lone])
+    _, rd, rs, re_ = local_fold((np.zeros(len(d) + 1, np.int64),), np.concatenate(([-(1 << 62)], d)), np.concatenate(([0], s)), np.concatenate(([0], s + SIZE)))
+    cols = [np.concatenate(x) for x in ((doc[span], wd, rd), (lo[span], ws, rs), (end[span], we, re_))]
+    return pa.table({"doc": pa.array(cols[0], pa.int64()), "s": pa.array(cols[1].astype(np.int32)), "e": pa.array(cols[2].astype(np.int32))})
+
+
+def repeated_spans(docs: DataFrame, bucket_rows: int = 8_000) -> DataFrame:
+    """(doc_id long, text) -> docs with ``_spans`` (array of struct(s, e), unmerged; null if none) and ``_copy`` (equal to an earlier text). Rows without doc_id take no part."""
+    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    keyed = materialize(texts.select("doc", F.unhex(F.sha2("text", 256)).alias("d")))
     least = keyed.groupBy("d").agg(F.min("doc").alias("least"))
     copies = materialize(keyed.join(least, "d").filter("doc != least").select("doc").distinct())
-    only = texts.join(copies, "doc", "left_anti").filter(F.octet_length("text") >= SIZE)
-
-    def anchors(batches):
-        for b in batches:
-            ids, raws = b.column(0).to_numpy(), [t.encode() for t in b.column(1).to_pylist()]
-            i = 0
-            while i < len(raws):
-                j, total = i + 1, len(raws[i])
-                while j < len(raws) and total + len(raws[j]) <= BUFFER:
-                    total, j = total + len(raws[j]), j + 1
-                if (found := anchor_runs(raws[i:j])) is not None:
-                    d, lo, cnt, rel, h, c = found
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(ids[i:j][d]), pa.array(lo.astype(np.int32)), pa.array(cnt.astype(np.int16)), pa.array(rel.astype(np.int16))], names=["h", "c", "doc", "lo", "cnt", "rel"])
-                i = j
-
-    runs = materialize(only.mapInArrow(anchors, "h long, c long, doc long, lo int, cnt short, rel short"))
-    groups = runs.groupBy("h", "c").agg(F.min(F.struct("doc", "lo")).alias("first"), F.count("*").alias("n"), F.min("cnt").alias("cnt"), F.min("rel").alias("rel"))
-    groups = materialize(groups)
-    many = groups.groupBy("h").count().filter("count > 1").select("h")
-    folded = runs.join(groups.filter("n > 1").select("h", "c", "first"), ["h", "c"]).filter("struct(doc, lo) != first").select("doc", F.col("lo").alias("s"), (F.col("lo") + F.col("cnt") + (SIZE - 1)).cast("int").alias("e"))
-    asked = materialize(groups.join(many, "h").select("h", F.col("first.doc").alias("doc"), F.col("first.lo").alias("lo"), "cnt", "rel"))
-    buckets = max(1, asked.count() // bucket_rows + 1)
-    by_doc = asked.groupBy("doc").agg(F.collect_list(F.struct("h", "lo", "cnt", "rel")).alias("asked"))
-
-    def cut(batches):
-        for big in batches:
-            for s in range(0, big.num_rows, 64):
-                out = []
-                b = big.slice(s, 64)
-                for doc, text, wanted in zip(*(b.column(i).to_pylist() for i in range(3))):
-                    raw = text.encode()
-                    out += [(r["h"], doc, r["lo"], r["rel"], raw[r["lo"] : r["lo"] + r["cnt"] + SIZE - 1]) for r in wanted]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.binary()))], names=["h", "doc", "lo", "rel", "run"])
-
-    cuts = texts.join(by_doc, "doc").select("doc", "text", "asked").mapInArrow(cut, "h long, doc long, lo int, rel short, run binary")
-
-    def sort(table: pa.Table) -> pa.Table:
-        d, s = later_windows(*(table.column(c).to_numpy().astype(np.int64) for c in ("doc", "lo", "rel", "h")), table.column("run").to_pylist())
-        o = np.lexsort((s, d))
-        d, s = d[o], s[o]
-        new = np.nonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (s[1:] > s[:-1] + SIZE))))[0] if len(d) else np.empty(0, np.int64)
-        last = np.concatenate((new[1:], [len(d)]))[: len(new)] - 1
-        return pa.table({"doc": pa.array(d[new]), "s": pa.array(s[new].astype(np.int32)), "e": pa.array((s[last] + SIZE).astype(np.int32))})
-
-    sorted_ = cuts.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets))).groupBy("bucket").applyInArrow(sort, "doc long, s int, e int")
-    spans = materialize(folded.union(sorted_)).groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("_spans"))
-    out = docs.join(spans.withColumnRenamed("doc", "_doc"), docs.doc_id.cast("long") == F.col("_doc"), "left").drop("_doc")
-    return out.join(copies.select(F.col("doc").alias("_doc"), F.lit(True).alias("_copy")), out.doc_id.cast("long") == F.col("_doc"), "left").drop("_doc")
+    only = texts.filter(F.octet_length("text") >= SIZE).join(copies, "doc", "left_anti")
+    runs = only.mapInArrow(find_runs, RUN).repartition("h").sortWithinPartitions("h", "c", "doc", "at")
+    found = materialize(runs.mapInArrow(fold_runs, FOUND))
+    asked = found.filter("h is not null")
+    size = asked.agg(F.sum(F.expr(f"if(hot, e - s - {SIZE - 1}, 1)"))).first()[0] or 0
+    by_doc = materialize(asked.groupBy("doc").agg(F.collect_list(F.struct("h", "s", "e", "rel", "hot")).alias("asked")))
+    cuts = texts.join(by_doc, "doc").select("doc", "text", "asked").mapInArrow(cut_runs, CUT)
+    sorted_ = cuts.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(size // bucket_rows + 1))).groupBy("bucket").applyInArrow(sort_runs, "doc long, s int, e int")
+    spans = found.filter("h is null").select("doc", "s", "e").union(sorted_).select("doc", F.struct("s", "e").alias("span"), F.lit(False).alias("copy"))
+    spans = spans.union(copies.select("doc", F.lit(None).cast("struct<s:int,e:int>"), F.lit(True)))
+    spans = materialize(spans.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("span").alias("_spans"), F.max("copy").alias("_copy")))
+    return docs.join(spans, docs.doc_id.cast("long") == F.col("_doc"), "left").drop("_doc")
 
 
 def text_spans(text, spans, copy) -> tuple[bytes, list[tuple[int, int]]]:

@@ -124,10 +124,10 @@ def test_quality(docs, none):
     assert quality.apply_hosts(quality.document_stats(none)).count() == 0
 
 
-def test_suffixes(docs, none):
-    raws, seen = {i: (t or "").encode() for i, t, *_ in ROWS}, set()
+def check_suffixes(docs, raws: dict[int, bytes]):
+    seen = set()
     marked = {r.doc_id: suffixes.text_spans(r.text, r._spans, r._copy)[1] for r in suffixes.repeated_spans(docs).collect()}
-    assert len(marked) == len(ROWS)
+    assert len(marked) == len(raws)
     for i, raw in raws.items():
         gone = set()
         for s in range(len(raw) - 99):
@@ -136,6 +136,20 @@ def test_suffixes(docs, none):
             seen.add(raw[s : s + 100])
         assert {k for s, e in marked[i] for k in range(s, e)} == gone, i
     assert any(marked.values())
+
+
+def test_suffixes_hot_anchor(spark):
+    """A passage in more documents than HOT: the anchors at its edges have as many different runs."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passage = " ".join(word() for _ in range(25))
+    few = [" ".join(word() for _ in range(15)) for _ in range(7)]
+    rows = [(i, f"{rng.choice(few)} {passage} {' '.join(word() for _ in range(20)) if i % 2 else rng.choice(few)}") for i in range(2 * suffixes.HOT + 100)]
+    check_suffixes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), {i: t.encode() for i, t in rows})
+
+
+def test_suffixes(docs, none):
+    check_suffixes(docs, {i: (t or "").encode() for i, t, *_ in ROWS})
     out = {r.doc_id: r.text for r in suffixes.cleaned(docs).collect()}
     assert out[0] == TEXTS[0] and out[30] is None
     assert suffixes.cleaned(none).count() == 0
