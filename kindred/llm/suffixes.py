@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.plans.store import materialize
+from kindred.plans.store import join_small, materialize
 
 SIZE, ANCHOR, BUFFER, HOT = 100, 50, 1 << 23, 256
 BASE = 0x9E3779B97F4A7C15
@@ -272,8 +272,8 @@ def repeated_spans(docs: DataFrame, bucket_rows: int = 8_000) -> DataFrame:
     """(doc_id long, text) -> docs with ``_spans`` (array of struct(s, e), unmerged; null if none) and ``_copy`` (equal to an earlier text). Rows without doc_id take no part."""
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     keyed = materialize(texts.select("doc", F.unhex(F.sha2("text", 256)).alias("d")))
-    least = keyed.groupBy("d").agg(F.min("doc").alias("least"))
-    copies = materialize(keyed.join(least, "d").filter("doc != least").select("doc").distinct())
+    least = materialize(keyed.groupBy("d").agg(F.min("doc").alias("least"), F.count("*").alias("n")).filter("n > 1"))
+    copies = materialize(join_small(keyed, least, "d", "inner").filter("doc != least").select("doc").distinct())
     only = texts.filter(F.octet_length("text") >= SIZE).join(copies, "doc", "left_anti")
     runs = only.mapInArrow(find_runs, RUN).repartition("h").sortWithinPartitions("h", "c", "doc", "at")
     found = materialize(runs.mapInArrow(fold_runs, FOUND))
