@@ -172,6 +172,44 @@ class Pedigree:
         d = self.distances(sources).filter("hops > 0 and node like 'I%'")
         return d.groupBy("source").agg((1 / F.avg("hops")).alias("closeness"))
 
+    def geodesics(self, sources: DataFrame, max_hops: int = 0) -> DataFrame:
+        """(source, node, path): one shortest path each, the least in order of node names. Its head is a least path too, so a level keeps one path a pair."""
+        e = materialize(self.edges.select("src", "dst").distinct())
+        start = sources.select(F.concat(F.lit("I"), F.col("xref").cast("string")).alias("source")).distinct()
+        frontier = materialize(start.select("source", F.col("source").alias("node"), F.array("source").alias("path")))
+        out, hops = frontier, 0
+        while not max_hops or hops < max_hops:
+            hops += 1
+            nxt = frontier.join(e, frontier.node == e.src).select("source", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
+            nxt = materialize(nxt.groupBy("source", "node").agg(F.min("path").alias("path")).join(out.select("source", "node"), ["source", "node"], "left_anti"))
+            if nxt.isEmpty():
+                break
+            out, frontier = out.unionByName(nxt), nxt
+        return out
+
+    def betweenness(self, sources: DataFrame, max_hops: int = 0) -> DataFrame:
+        """(node, paths, betweenness): how many of the sources' shortest paths to other people have the node (families too) inside, one path a pair, and that over n(n-1)/2 pairs of n people. A pair of two sources counts once, from the lesser name."""
+        g = materialize(self.geodesics(sources, max_hops).filter("node like 'I%' and node != source"))
+        twice = g.select(F.col("node").alias("source"), F.col("source").alias("node")).filter("source < node")
+        inner = g.join(twice, ["source", "node"], "left_anti").filter("size(path) > 2").select(F.explode(F.slice("path", 2, F.size("path") - 2)).alias("node"))
+        n = self.individuals.agg(F.count("*").alias("n"))
+        return inner.groupBy("node").agg(F.count("*").alias("paths")).join(F.broadcast(n)).select("node", "paths", F.round(2 * F.col("paths") / (F.col("n") * (F.col("n") - 1)), 12).alias("betweenness"))
+
+    def longest_path(self, sources: DataFrame, max_length: int = 20) -> DataFrame:
+        """(path, length): the longest simple path from a source to another person, of at most ``max_length`` links; of equals, the least in order of node names. Paths are exponential in max_length; empty if there is none."""
+        e = materialize(self.edges.select("src", "dst").distinct())
+        now = sources.select(F.array(F.concat(F.lit("I"), F.col("xref").cast("string"))).alias("path"))
+        best = None
+        for _ in range(max_length):
+            now = materialize(now.join(e, F.element_at("path", -1) == e.src).filter(~F.array_contains(F.col("path"), F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path")))
+            if now.isEmpty():
+                break
+            least = now.filter(F.element_at("path", -1).like("I%")).agg(F.min("path").alias("path"))
+            best = least if best is None else best.unionByName(least)
+        if best is None:
+            return now.select("path", F.lit(0).cast("long").alias("length")).limit(0)
+        return best.filter("path is not null").withColumn("length", (F.size("path") - 1).cast("long")).agg(F.min_by(F.struct("path", "length"), F.struct(-F.col("length"), F.col("path"))).alias("x")).filter("x is not null").select("x.*")
+
     def cycles(self) -> DataFrame:
         """People on or below a cycle of parents, by peeling off those without remaining parents; empty for a sound pedigree."""
         edges = materialize(self.parent_edge.select("child", "parent").distinct())

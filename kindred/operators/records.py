@@ -60,8 +60,20 @@ def year_score(a: Column, b: Column) -> Column:
     return F.coalesce(F.when(gap == 0, 1.0).when(gap == 1, 0.9).when(gap == 2, 0.8).when(gap <= 5, 0.7).when(gap <= 10, 0.5).otherwise(0.0), F.lit(0.0))
 
 
-def score_pairs(pairs: DataFrame, people: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """(a, b, name_score, date_score, place_score, sex_score, score, confidence) of pairs at or above the threshold; the relation score is left at 0."""
+def relation_scores(pairs: DataFrame, p) -> DataFrame:
+    """(a, b, relation_score) of the pairs with shared relatives: parents 0.1 each up to 0.2, a spouse 0.2, children 0.1 each up to 0.3, over 0.7."""
+    links = None
+    for kind in ("parents", "spouses", "children"):
+        part = p.relatives(kind).select(F.lit(kind).alias("kind"), F.col("xref").alias("x"), "relative")
+        links = part if links is None else links.unionByName(part)
+    shared = pairs.select("a", "b").distinct().join(links.withColumnRenamed("x", "a"), "a").join(links.withColumnRenamed("x", "b"), ["b", "kind", "relative"])
+    n = lambda kind: F.count(F.when(F.col("kind") == kind, 1))
+    score = F.least(n("parents") * 0.1, F.lit(0.2)) + F.when(n("spouses") > 0, 0.2).otherwise(0.0) + F.least(n("children") * 0.1, F.lit(0.3))
+    return shared.groupBy("a", "b").agg(F.round(score / 0.7, 6).alias("relation_score"))
+
+
+def score_pairs(pairs: DataFrame, people: DataFrame, threshold: float = 0.6, pedigree=None) -> DataFrame:
+    """(a, b, name_score, date_score, place_score, sex_score, relation_score, score, confidence) of pairs at or above the threshold; the relation score is 0 without a pedigree."""
     cols = ["name", "birth_date", "birth_place", "sex"]
     x = people.select(F.col("xref").alias("a"), *[F.col(c).alias(f"a_{c}") for c in cols])
     y = people.select(F.col("xref").alias("b"), *[F.col(c).alias(f"b_{c}") for c in cols])
@@ -69,7 +81,8 @@ def score_pairs(pairs: DataFrame, people: DataFrame, threshold: float = 0.6) ->
     place = F.coalesce(F.when(F.lower("a_birth_place") == F.lower("b_birth_place"), 1.0).otherwise(0.0), F.lit(0.0))
     sex = F.when(F.col("a_sex").isNull() | F.col("b_sex").isNull(), 0.5).when(F.col("a_sex") == F.col("b_sex"), 1.0).otherwise(0.0)
     p = p.select("a", "b", name_score(F.col("a_name"), F.col("b_name")).alias("name_score"), year_score(F.col("a_birth_date"), F.col("b_birth_date")).alias("date_score"), place.alias("place_score"), sex.alias("sex_score"))
-    p = p.withColumn("score", F.round(sum((F.col(f"{k}_score") * WEIGHTS[k] for k in ("name", "date", "place", "sex")), F.lit(0.0)), 6)).filter(F.col("score") >= threshold)
+    p = p.join(relation_scores(pairs, pedigree), ["a", "b"], "left").fillna(0.0, ["relation_score"]) if pedigree else p.withColumn("relation_score", F.lit(0.0))
+    p = p.withColumn("score", F.round(sum((F.col(f"{k}_score") * w for k, w in WEIGHTS.items()), F.lit(0.0)), 6)).filter(F.col("score") >= threshold)
     s = F.col("score")
     return p.withColumn("confidence", F.when(s >= 0.95, "exact").when(s >= 0.85, "high").when(s >= 0.70, "medium").otherwise("low"))
 
@@ -154,3 +167,21 @@ def diff(old: DataFrame, new: DataFrame, key: str = "xref") -> DataFrame:
     one = F.when(F.col("o").isNull() | F.col("n").isNull(), F.array(F.struct(F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("old"), F.lit(None).cast("string").alias("new")))).otherwise(F.filter(rows, lambda r: ~r["old"].eqNullSafe(r["new"])))
     change = F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").otherwise("modified")
     return j.select(key, change.alias("change"), F.explode(one).alias("r")).select(key, "change", "r.field", "r.old", "r.new")
+
+
+def match_content(old: DataFrame, new: DataFrame, content: list[str], key: str = "xref") -> DataFrame:
+    """(old_key, new_key, how): records matched by key, and those whose key only one side has by equal content (case-folded, all of it present), where just one such record a side has it. Counting comes before the shuffle, so common content is harmless."""
+
+    def alone(df, other, name):
+        rest = df.join(other.select(key), key, "left_anti").select(key, *[F.lower(F.trim(F.col(c).cast("string"))).alias(c) for c in content]).dropna(subset=content)
+        return rest.groupBy(*content).agg(F.min(key).alias(name), F.count("*").alias("n")).filter("n = 1").drop("n")
+
+    same = old.select(F.col(key).alias("old_key")).join(new.select(F.col(key).alias("new_key")), F.col("old_key") == F.col("new_key")).withColumn("how", F.lit("key"))
+    return same.unionByName(alone(old, new, "old_key").join(alone(new, old, "new_key"), content).select("old_key", "new_key", F.lit("content").alias("how")))
+
+
+def diff_hybrid(old: DataFrame, new: DataFrame, content: list[str], key: str = "xref") -> DataFrame:
+    """As ``diff``, but records matched by content are compared, not reported as removed and added; their key is the old one."""
+    moved = match_content(old, new, content, key).filter("how = 'content'").select("old_key", "new_key")
+    named = new.join(moved, F.col(key) == F.col("new_key"), "left").withColumn(key, F.coalesce("old_key", key)).select(*new.columns)
+    return diff(old, named, key)

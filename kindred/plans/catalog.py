@@ -67,6 +67,14 @@ add("avg_path_length_bounded", lambda p, *_: p.distances(p.roots(PERSON), 6).fil
 add("all_paths_bounded", lambda p, *_: p.all_paths(20, 21, 4).select(F.array_join("nodes", ">").alias("nodes"), "length", "path_type"),
     ", w(nodes, t, last, n) AS (SELECT ['I20'], CAST([] AS VARCHAR[]), 'I20', 0 UNION ALL SELECT list_append(nodes, dst), list_append(t, edge_type), dst, n + 1 FROM w JOIN edge ON src = last WHERE n < 4 AND last <> 'I21' AND NOT list_contains(nodes, dst)) "
     "SELECT array_to_string(nodes, '>') AS nodes, CAST(n AS BIGINT) AS length, CASE WHEN list_has_any(t, ['FAMC', 'CHIL']) AND list_has_any(t, ['HUSB', 'WIFE', 'FAMS']) THEN 'mixed' WHEN list_has_any(t, ['HUSB', 'WIFE', 'FAMS']) THEN 'marital' ELSE 'blood' END AS path_type FROM w WHERE last = 'I21'")
+add("betweenness_sample", lambda p, *_: p.betweenness(p.roots(20, 25), 4),
+    ", w(source, node, path) AS (SELECT 'I' || xref, 'I' || xref, ['I' || xref] FROM ind WHERE xref IN (20, 25) UNION SELECT source, dst, list_append(path, dst) FROM w JOIN edge ON src = node WHERE len(path) < 5), "
+    "g AS (SELECT source, node, path FROM (SELECT *, row_number() OVER (PARTITION BY source, node ORDER BY len(path), path) AS r FROM w) WHERE r = 1 AND node LIKE 'I%' AND node <> source), "
+    "k AS (SELECT * FROM g WHERE NOT (source > node AND EXISTS (SELECT 1 FROM g h WHERE h.source = g.node AND h.node = g.source))), c AS (SELECT unnest(path[2:len(path) - 1]) AS node FROM k) "
+    "SELECT node, count(*) AS paths, round(2 * count(*) / ((SELECT count(*) FROM ind) * ((SELECT count(*) FROM ind) - 1)), 12) AS betweenness FROM c GROUP BY 1")
+add("longest_path_bounded", lambda p, *_: p.longest_path(p.roots(20), 6).select(F.array_join("path", ">").alias("path"), "length"),
+    ", w(path) AS (SELECT ['I20'] UNION SELECT list_append(path, dst) FROM w JOIN edge ON src = path[-1] WHERE len(path) < 7 AND NOT list_contains(path, dst)) "
+    "SELECT array_to_string(path, '>') AS path, CAST(len(path) - 1 AS BIGINT) AS length FROM w WHERE len(path) > 1 AND path[-1] LIKE 'I%' ORDER BY len(w.path) DESC, w.path LIMIT 1")
 DEGREE = "(SELECT node, sum(o) AS out_degree, sum(i) AS in_degree, sum(o + i) AS degree FROM (SELECT src AS node, 1 AS o, 0 AS i FROM edge UNION ALL SELECT dst, 0, 1 FROM edge) GROUP BY 1)"
 add("degree", lambda p, *_: p.degrees(), f"SELECT node, CAST(out_degree AS BIGINT) AS out_degree, CAST(in_degree AS BIGINT) AS in_degree, CAST(degree AS BIGINT) AS degree FROM {DEGREE}")
 add("avg_degree", lambda p, *_: p.degrees().filter("node like 'I%'").agg(F.round(F.avg("degree"), 6).alias("avg_degree")), f"SELECT round(avg(degree), 6) AS avg_degree FROM {DEGREE} WHERE node LIKE 'I%'")
@@ -136,18 +144,25 @@ add("soundex_codes", lambda p, *_: p.individuals.select("xref", S.soundex(F.col(
     f"SELECT xref, {CODE} AS code FROM {LETTERS}")
 add("block_sizes", lambda p, *_: R.block_sizes(p.individuals), KEYS + "SELECT key, count(*) AS n FROM k GROUP BY 1")
 add("candidate_pairs", lambda p, *_: R.candidate_pairs(p.individuals), PAIRS + "SELECT a, b FROM q")
-add("duplicates_scored", lambda p, *_: R.score_pairs(R.candidate_pairs(p.individuals), p.individuals), None)
+add("duplicates_scored", lambda p, *_: R.score_pairs(R.candidate_pairs(p.individuals), p.individuals, pedigree=p), None)
+add("relation_scores", lambda p, *_: R.relation_scores(R.candidate_pairs(p.individuals), p), PAIRS.rstrip() + """, l AS (SELECT 'p' AS t, child AS x, parent AS y FROM pe UNION SELECT 's', a, b FROM se UNION SELECT 'c', parent, child FROM pe),
+ z AS (SELECT q.a, q.b, u.t FROM q JOIN l u ON u.x = q.a JOIN l v ON v.x = q.b AND v.t = u.t AND v.y = u.y)
+ SELECT a, b, round(CAST(least(count(*) FILTER (t = 'p') * 0.1, 0.2) + CASE WHEN count(*) FILTER (t = 's') > 0 THEN 0.2 ELSE 0 END + least(count(*) FILTER (t = 'c') * 0.1, 0.3) AS DOUBLE) / 0.7, 6) AS relation_score FROM z GROUP BY 1, 2""")
 add("levenshtein_names", lambda p, *_: p.individuals.select("xref", F.levenshtein("given", "surname").cast("long").alias("d")), "SELECT xref, levenshtein(given, surname) AS d FROM ind")
 
 # differences: the second snapshot lacks every eleventh person, has new ones and other values
 NEW = "SELECT xref + CASE WHEN xref % 13 = 0 THEN 1000000 ELSE 0 END AS xref, CASE WHEN xref % 7 = 0 THEN name || '*' ELSE name END AS name, sex, CASE WHEN xref % 5 = 0 THEN NULL ELSE birth_place END AS birth_place FROM ind WHERE xref % 11 <> 0"
 
 
-def _diff(p):
+def _snapshots(p):
     old = p.individuals.select("xref", "name", "sex", "birth_place")
     x = F.col("xref")
     new = old.filter(x % 11 != 0).select((x + F.when(x % 13 == 0, 1000000).otherwise(0)).alias("xref"), F.when(x % 7 == 0, F.concat("name", F.lit("*"))).otherwise(F.col("name")).alias("name"), "sex", F.when(x % 5 != 0, F.col("birth_place")).alias("birth_place"))
-    return R.diff(old, new)
+    return old, new
+
+
+def _diff(p):
+    return R.diff(*_snapshots(p))
 
 
 D = f", n AS ({NEW}) "
@@ -157,6 +172,13 @@ FIELDS = " UNION ALL ".join(f"SELECT xref, '{c}' AS field, ind.{c} AS old, n.{c}
 add("diff_fields", lambda p, *_: _diff(p).filter("change = 'modified'").select("xref", "field", "old", "new"), D + FIELDS)
 add("diff_summary", lambda p, *_: _diff(p).groupBy("change").agg(F.countDistinct("xref").alias("n")), D + f"SELECT 'added' AS change, count(*) AS n FROM n WHERE xref NOT IN (SELECT xref FROM ind) UNION ALL SELECT 'removed', count(*) FROM ind WHERE xref NOT IN (SELECT xref FROM n) UNION ALL SELECT 'modified', count(DISTINCT xref) FROM ({FIELDS})")
 
+HYBRID = D.rstrip() + """, a AS (SELECT lower(name) AS nm, sex, min(xref) AS x FROM n WHERE xref NOT IN (SELECT xref FROM ind) GROUP BY 1, 2 HAVING count(*) = 1), r AS (SELECT lower(name) AS nm, sex, min(xref) AS x FROM ind WHERE xref NOT IN (SELECT xref FROM n) GROUP BY 1, 2 HAVING count(*) = 1) """
+add("diff_matches", lambda p, *_: R.match_content(*_snapshots(p), ["name", "sex"]), HYBRID + "SELECT r.x AS old_key, a.x AS new_key, 'content' AS how FROM a JOIN r USING (nm, sex) UNION ALL SELECT xref, xref, 'key' FROM ind JOIN n USING (xref)")
+add("diff_hybrid", lambda p, *_: R.diff_hybrid(*_snapshots(p), ["name", "sex"]).groupBy("change").agg(F.countDistinct("xref").alias("n")), HYBRID.rstrip() + """, m AS (SELECT r.x AS o, a.x AS n FROM a JOIN r USING (nm, sex)),
+ y AS (SELECT coalesce(m.o, n.xref) AS xref, name, sex, birth_place FROM n LEFT JOIN m ON m.n = n.xref)
+ SELECT * FROM (SELECT 'added' AS change, count(*) AS n FROM y WHERE xref NOT IN (SELECT xref FROM ind) UNION ALL SELECT 'removed', count(*) FROM ind WHERE xref NOT IN (SELECT xref FROM y)
+ UNION ALL SELECT 'modified', count(*) FROM ind JOIN y USING (xref) WHERE ind.name IS DISTINCT FROM y.name OR ind.sex IS DISTINCT FROM y.sex OR ind.birth_place IS DISTINCT FROM y.birth_place) WHERE n > 0""")
+
 # scalars
 DATES = "CASE xref % 4 WHEN 0 THEN 'ABT ' || year(birth_date) WHEN 1 THEN day(birth_date) || ' mar ' || year(birth_date) WHEN 2 THEN 'BET ' || year(birth_date) || ' AND ' || (year(birth_date) + 2) ELSE 'no date' END"
 add("date_parse", lambda p, *_: p.individuals.filter("birth_date is not null").select("xref", S.parse_date(F.expr(DATES)).alias("p")).select("xref", "p.type", F.col("p.y").cast("long").alias("y"), F.col("p.m").cast("long").alias("m"), S.earliest(F.col("p")).alias("earliest"), S.latest(F.col("p")).alias("latest")),

@@ -77,12 +77,45 @@ def to_gedcom(p: Pedigree) -> DataFrame:
     return ends.unionByName(people).unionByName(fams).orderBy("s", "xref").select("value")
 
 
+def to_yaml(df: DataFrame) -> DataFrame:
+    """(value): each row as an item of a YAML sequence. Values are in JSON notation, which YAML takes as flow style; nulls are left out."""
+    pair = lambda c: F.regexp_replace(F.to_json(F.struct(F.col(f"`{c}`"))), r'(?s)^\{("(?:[^"\\]|\\.)*"):(.*)\}$', "$1: $2")
+    named = F.array_compact(F.array(*[F.when(F.col(f"`{c}`").isNotNull(), pair(c)) for c in df.columns]))
+    return df.select(F.when(F.size(named) == 0, "- {}").otherwise(F.concat(F.lit("- "), F.array_join(named, "\n  "))).alias("value"))
+
+
+def structure_issues(every: DataFrame) -> DataFrame:
+    """``lines`` -> (file_id, record, xref, severity, rule): header, submitter, people and family records as the format asks."""
+    tops = every.filter("level = 0")
+    head = every.join(tops.filter("tag = 'HEAD'").select("file_id", "record"), ["file_id", "record"], "left_semi")
+    has = lambda level, tag: F.coalesce(F.max((F.col("level") == level) & (F.col("tag") == tag)), F.lit(False))
+    found = head.groupBy("file_id").agg(has(1, "GEDC").alias("gedc"), has(2, "VERS").alias("vers"), has(1, "SUBM").alias("subm"))
+    files = tops.select("file_id").distinct().join(found.withColumn("head", F.lit(True)), "file_id", "left")
+    no = lambda c: ~F.coalesce(F.col(c), F.lit(False))
+    rules = [(no("head"), "severe", "header_missing"), (~no("head") & no("gedc"), "severe", "gedc_missing"), (~no("gedc") & no("vers"), "warning", "version_missing"), (~no("head") & no("subm"), "severe", "submitter_missing")]
+    pick = lambda rules: F.array_compact(F.array(*[F.when(c, F.struct(F.lit(s).alias("severity"), F.lit(r).alias("rule"))) for c, s, r in rules]))
+    header = files.select("file_id", F.lit(None).cast(dict(every.dtypes)["record"]).alias("record"), F.lit(None).cast("string").alias("xref"), F.explode(pick(rules)).alias("i"))
+    n = lambda tag: F.count(F.when((F.col("level") == 1) & (F.col("tag") == tag), 1))
+    bad = F.count(F.when((F.col("level") == 1) & F.col("tag").isin("FAMS", "FAMC", "HUSB", "WIFE", "CHIL") & ~F.coalesce(F.col("value"), F.lit("")).rlike("^@[^@]+@$"), 1))
+    sex = F.count(F.when((F.col("level") == 1) & (F.col("tag") == "SEX") & ~F.upper(F.trim(F.coalesce("value", F.lit("")))).isin("M", "F", "U", "X", "N"), 1))
+    kinds = tops.filter("tag in ('INDI', 'FAM')").select("file_id", "record", F.col("tag").alias("kind"), F.col("xref").alias("of"))
+    sums = every.filter("level > 0").groupBy("file_id", "record").agg(*[n(t).alias(t) for t in ("NAME", "BIRT", "DEAT", "HUSB", "WIFE", "MARR", "DIV")], bad.alias("bad"), sex.alias("sex"))
+    records = kinds.join(sums, ["file_id", "record"], "left").fillna(0)
+    person, family = F.col("kind") == "INDI", F.col("kind") == "FAM"
+    rules = [(person & (F.col("NAME") == 0), "severe", "name_missing"), (person & (F.col("sex") > 0), "warning", "sex_unknown"), (person & (F.col("BIRT") > 1), "warning", "births_repeated"), (person & (F.col("DEAT") > 1), "warning", "deaths_repeated"),
+             (family & (F.col("HUSB") + F.col("WIFE") == 0), "severe", "partners_missing"), (family & (F.col("MARR") > 1), "warning", "marriages_repeated"), (family & (F.col("DIV") > 1), "warning", "divorces_repeated"), (F.col("bad") > 0, "severe", "reference_malformed")]
+    out = header.unionByName(records.select("file_id", "record", F.col("of").alias("xref"), F.explode(pick(rules)).alias("i")))
+    return out.select("file_id", "record", "xref", "i.severity", "i.rule")
+
+
 def write(df: DataFrame, path: str, kind: str = "json") -> None:
-    """JSON, CSV (with header) or XML rows; lists are joined for CSV."""
+    """JSON, CSV (with header), XML or YAML rows; lists are joined for CSV."""
     if kind == "csv":
         df = df.select(*[F.array_join(c, "; ").alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes])
         df.write.option("header", True).csv(path)
     elif kind == "xml":
         df.write.option("rowTag", "record").format("xml").save(path)
+    elif kind == "yaml":
+        to_yaml(df).write.text(path)
     else:
         df.write.json(path)

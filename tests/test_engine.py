@@ -134,3 +134,40 @@ def test_ingest(spark, tmp_path):
     path = ingest(spark, f"{tmp_path}/in", "k long, seq long, v string", f"{tmp_path}/out", ["k"], "seq", f"{tmp_path}/cp")
     got = {r.k: r.v for r in spark.read.parquet(path).collect()}
     assert set(got) == {1, 2} and got[2] == "b"
+
+
+def test_structure_issues(spark, tmp_path):
+    """No header, a person without a name, an unknown sex, a family without partners and a malformed reference; a file in order has none."""
+    (tmp_path / "bad.ged").write_text("0 @I1@ INDI\n1 SEX Q\n1 BIRT\n1 BIRT\n1 FAMS F1\n0 @F1@ FAM\n1 CHIL @I1@\n0 TRLR\n")
+    (tmp_path / "good.ged").write_text("0 HEAD\n1 GEDC\n2 VERS 5.5.1\n1 SUBM @S@\n0 @I1@ INDI\n1 NAME A /B/\n1 SEX f\n0 @F1@ FAM\n1 HUSB @I1@\n0 TRLR\n")
+    found = lambda f: {(r.xref, r.rule) for r in gedcom.structure_issues(gedcom.lines(spark, str(tmp_path / f))).collect()}
+    assert found("bad.ged") == {(None, "header_missing"), ("@I1@", "name_missing"), ("@I1@", "sex_unknown"), ("@I1@", "births_repeated"), ("@I1@", "reference_malformed"), ("@F1@", "partners_missing")}
+    assert found("good.ged") == set()
+
+
+def test_yaml(spark, tmp_path):
+    rows = [(1, 'a "b": c\nd\\', ["x", "y"]), (2, None, None), (None, None, None)]
+    d = spark.createDataFrame(rows, 'id long, `na"me:` string, tags array<string>')
+    assert [r.value for r in gedcom.to_yaml(d).collect()] == ['- "id": 1\n  "na\\"me:": "a \\"b\\": c\\nd\\\\"\n  "tags": ["x","y"]', '- "id": 2', "- {}"]
+    gedcom.write(d, str(tmp_path / "y"), "yaml")
+    assert spark.read.text(str(tmp_path / "y")).count() == 5
+
+
+def test_relation_score(spark):
+    from kindred.operators.pedigree import Pedigree
+    from kindred.operators.records import relation_scores
+
+    people = spark.createDataFrame([(i, f"p{i}") for i in range(8)], "xref long, name string")
+    fams = spark.createDataFrame([(0, 0, 1, None), (1, 2, 4, None), (2, 3, 4, None)], "family long, husband long, wife long, marriage_date date")
+    kids = spark.createDataFrame([(0, 2, 0), (0, 3, 1), (1, 5, 0), (2, 5, 0), (2, 6, 1)], "family long, child long, ordinal int")
+    pairs = spark.createDataFrame([(2, 3), (5, 6), (0, 7)], "a long, b long")
+    got = {(r.a, r.b): r.relation_score for r in relation_scores(pairs, Pedigree(people, fams, kids)).collect()}
+    assert got == {(2, 3): round(0.5 / 0.7, 6), (5, 6): round(0.2 / 0.7, 6)}
+
+
+def test_ambiguous_content_is_not_matched(spark):
+    from kindred.operators.records import match_content
+
+    old = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "c"), (5, None)], "xref long, name string")
+    new = spark.createDataFrame([(1, "z"), (12, "B "), (13, "c"), (15, None)], "xref long, name string")
+    assert {tuple(r) for r in match_content(old, new, ["name"]).collect()} == {(1, 1, "key"), (2, 12, "content")}
