@@ -9,6 +9,7 @@ one end id. Repeated rows are packed once each.
 from __future__ import annotations
 
 import json
+import os
 import zlib
 from functools import lru_cache
 
@@ -32,6 +33,7 @@ class Words:
         import regex
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         with open(path) as f:
             pattern = json.load(f)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
