@@ -1,7 +1,8 @@
 """Operator 6, WARC archives written by Spark and read back by boundary-chain verification.
 
 Writing: one record a row, through Spark's text writer, so any store works. Of pages with equal payloads the largest page_id
-holds the payload; the others are revisit records. Null html is an empty payload; null urls are written as empty.
+holds the payload; the others are revisit records. Null html is an empty payload; null urls are written as empty; a null page_id is written as a record without a number and read
+back as null, never as a revisit or the target of one.
 Reading: tasks scan splits for the record magic and emit candidates (offset, successor); pointer jumping from each file's start
 retains reachable ones, so a magic inside a payload, even with a whole record around it, is rejected. Payloads cut by such a
 magic are put together again from their pieces, for these records alone.
@@ -41,7 +42,7 @@ def write_warc(pages: DataFrame, path: str, least: int = 0, records_per_file: in
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("html").cast("string"), F.lit(END))
     size = F.octet_length(http) + F.when(again, 0).otherwise(F.octet_length("html"))
     head = F.concat(
-        F.lit(MAGIC + "WARC-Type: "), F.when(again, "revisit").otherwise("response"), F.lit("\r\nWARC-Record-ID: <urn:page:"), F.col("page_id").cast("string"),
+        F.lit(MAGIC + "WARC-Type: "), F.when(again, "revisit").otherwise("response"), F.lit("\r\nWARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")),
         F.lit(">\r\nWARC-Date: 2000-01-01T00:00:00Z\r\nWARC-Target-URI: "), F.col("url"), F.lit("\r\nWARC-Payload-Digest: sha1:"), base32(F.sha1(F.col("html").cast("binary"))),
         F.when(again, F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:page:"), F.col("to").cast("string"), F.lit(">"))).otherwise(F.lit("")),
         F.lit("\r\nContent-Type: application/http;msgtype=response\r\nContent-Length: "), size.cast("string"), F.lit(END), http)

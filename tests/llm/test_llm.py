@@ -177,6 +177,14 @@ def test_warc(spark, tmp_path):
     assert (got[2].type, got[2].refers_to, got[4].refers_to, got[3].type) == ("revisit", 3, 5, "response")
 
 
+def test_warc_null_page_id(spark, tmp_path):
+    rows = [(1, "http://a/1", "one"), (None, "http://a/n", "one"), (2, "http://a/2", "two"), (None, None, None), (3, "http://a/3", "one")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_warc(pages, f"file://{tmp_path}/null")
+    got = sorted(((r.page_id or 0, r.bytes, r.type, r.refers_to) for r in warc.read_warc(spark, f"file://{tmp_path}/null").collect()), key=str)
+    assert got == sorted([(1, 3, "revisit", 3), (0, 3, "response", None), (2, 3, "response", None), (0, 0, "response", None), (3, 3, "response", None)], key=str)
+
+
 def test_html(spark):
     page = "<html><body><nav><li>Menu</nav><div class='cookie-notice'>Eat</div><article><header><h1>Title &amp;amp;</h1></header><p>One <b>two<br><p>three\n four<script>x('</p>')</script></article><div id=comments><p>rude</div><footer>c</footer></body></html>"
     rows = [(1, "http://h/1", page), (2, "http://h/2", None), (3, None, ""), (4, "http://h/4", "plain")]
