@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame
 
-from kindred.llm import packing, quality, simhash, suffixes, toxicity
+from kindred.llm import packing, quality, similar, suffixes, toxicity
 from kindred.plans.store import materialize, shared_dir
 
 #: Not expressible in SQL (a trained model, suffix sorting); tests hold it against brute force.
@@ -24,7 +24,7 @@ def toxic_documents(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keep = simhash.near_duplicates(docs).filter("doc_id = component_id").select("doc_id")
+    keep = similar.near_copies(docs).filter("doc_id = component_id").select("doc_id")
     return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
 
 

@@ -23,21 +23,30 @@ BITS = 2
 MASKS = [sum(0xFF << (8 * p) for p in c) for c in combinations(range(8), 6)]
 
 
-def fingerprint(text: str | None, seed: int = 42, shingle: int = 3, block: int = 1 << 15) -> int:
-    words = (text or "").encode().lower().split()  # bytes: A-Z only, split at 0x20 and 0x09-0x0D
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()  # bytes: A-Z only, split at 0x20 and 0x09-0x0D
+
+
+def shingle_hashes(words: list[bytes], seed: int, shingle: int, block: int = 1 << 15):
+    """Arrays (uint64) of the hashes of all shingles in order; fewer words are one shingle, none are none."""
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(shingle, len(words))
     starts, ends = starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist()
-    tally = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
     for i in range(0, len(starts), block):
-        h = np.array([digest(joined[s:e], seed) for s, e in zip(starts[i : i + block], ends[i : i + block])], ">u8")
-        tally += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * tally > len(starts)).tobytes(), "big")
+        yield np.array([digest(joined[s:e], seed) for s, e in zip(starts[i : i + block], ends[i : i + block])], np.uint64)
+
+
+def fingerprint(text: str | None, seed: int = 42, shingle: int = 3) -> int:
+    tally, n = np.zeros(64, np.int64), 0
+    for h in shingle_hashes(words_of(text), seed, shingle):
+        tally += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        n += len(h)
+    return int.from_bytes(np.packbits(2 * tally > n).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ import tiktoken
 import xxhash
 from tokenizers import Tokenizer
 
-from kindred.llm import bpe, html, licenses, packing, quality, simhash, suffixes, topk, toxicity, warc
+from kindred.llm import bpe, html, licenses, packing, quality, similar, simhash, suffixes, topk, toxicity, warc
 
 RNG = random.Random(5)
 VOCAB = ["alpha", "beta", "gamma", "delta", "don't", "Été", "x²", "日本", "42", " ", "I'll", "zzzzzzzz", "😀"]
@@ -51,6 +51,32 @@ def test_simhash(docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_pipeline_near_duplicates(spark, none):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    base = [[f"w{rng.randint(0, 9999)}" for _ in range(n)] for n in (300, 300, 120, 40)]
+    texts = [None, "", "One two", "one  TWO", "one three"]
+    for words in base:
+        for changes in (0, 0, 1, 2, 3, 5, 8, 12, 20, 40):
+            new = list(words)
+            for _ in range(changes):
+                new[rng.randrange(len(new))] = f"n{rng.randint(0, 9999)}"
+            texts.append(" ".join(new))
+    texts += [" ".join(base[0] + base[1][:60]), " ".join(base[0][:200] + base[1][:100])]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in texts]
+    comp = list(range(len(texts)))
+    for a in comp[:]:
+        for b in range(a):
+            if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((comp[a], comp[b]))
+                comp = [x if c == y else c for c in comp]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in similar.near_copies(docs).collect()} == dict(enumerate(comp))
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == sorted(set(comp))
+    assert similar.near_copies(none).count() == 0
+
+
 def test_posting_links_large_equals_small():
     r = np.random.default_rng(0)
     v = np.unique(r.integers(0, 4000, 400).astype(np.uint64))
