@@ -1,8 +1,9 @@
 """Operator 10, main text by consensus host paths.
 
 Pass 1 scores each page's containers by their own text without links and emits (host, generalised tag-class path, score); Spark
-sums the votes and each host's best path wins. Pass 2 extracts the text below the winning path, or below the page's own best
-container where the page has no such path. Furniture (menus, headers, footers, sidebars, notices, adverts, forms, comments) is
+sums the votes and each host's best path wins. Pass 2 lifts the winner to the article or main around it, else to the lowest
+container with all of the page's text but link lists, and extracts the text below; the page's own best container takes its
+place where that is under half of the page's text. Furniture (menus, headers, footers, sidebars, notices, adverts, forms, comments) is
 left out by tag, role and class. Null and empty html give empty text; unclosed tags are closed by their ancestors' ends.
 """
 
@@ -114,13 +115,32 @@ def votes(page: str) -> dict[str, float]:
     return out
 
 
-def extract(page: str, winner: str | None) -> str:
+def lifted(path: str, blocks: list[tuple[str, str, int]]) -> tuple[str, float]:
+    """The nearest article or main around ``path``, else the lowest container around it with all text but link lists; and its share of that text."""
+    weights = [(p + "/", max(0, len(t) - 2 * linked)) for p, t, linked in blocks]
+    total = sum(n for _, n in weights)
+    steps = path.split("/")
+    held = lambda k: sum(n for p, n in weights if p.startswith("/".join(steps[:k]) + "/"))
+    for k in range(len(steps), 0, -1):
+        if steps[k - 1].split(".")[0] in ("article", "main"):
+            return "/".join(steps[:k]), held(k) / total if total else 1.0
+    for k in range(len(steps), 0, -1):
+        if held(k) == total:
+            return "/".join(steps[:k]), 1.0
+    return "", 1.0
+
+
+def extract(page: str, winner: str | None, small: float = 0.5) -> str:
     blocks = list(walk(page))
-    inside = [t for p, t, _ in blocks if winner and (p == winner or p.startswith(winner + "/"))]
+    below = lambda path: [t for p, t, _ in blocks if not path or p == path or p.startswith(path + "/")]
+    inside: list[str] = []
+    if winner and below(winner):
+        path, part = lifted(winner, blocks)
+        inside = below(path) if part >= small else []
     if not inside and blocks:
         own = votes(page)
         best = max(sorted(own), key=own.get, default="")
-        inside = [t for p, t, _ in blocks if not best or p == best or p.startswith(best + "/")]
+        inside = below(lifted(best, blocks)[0]) if best else below("")
     return " ".join(inside)
 
 

@@ -218,6 +218,19 @@ def test_html(spark):
     assert got == {1: ("Title &amp; One two three four", 30), 2: ("", 0), 3: ("", 0), 4: ("plain", 5)}
 
 
+def test_html_nested_and_mixed_templates(spark):
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    nested = lambda i: f"<body><nav>menu</nav><article><h1>{words(f'head{i}x', 6)}</h1><p>lead</p><div class=entry><div class=text><p>{words(f'body{i}x', 200)}</p></div></div></article></body>"
+    bare = lambda i: f"<body><div class=post><div class=intro>{words(f'intro{i}x', 5)}</div><div class=body>{words(f'long{i}x', 200)}</div></div></body>"
+    other = f"<body><div class=post><div class=body>teaser</div></div><section><p>{words('story', 150)}</p></section></body>"
+    rows = [(i, "http://n/", nested(i)) for i in range(3)] + [(10 + i, "http://b/", bare(i)) for i in range(3)] + [(20, "http://b/", other)]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(3):
+        assert got[i] == f"{words(f'head{i}x', 6)} lead {words(f'body{i}x', 200)}"
+        assert got[10 + i] == f"{words(f'intro{i}x', 5)} {words(f'long{i}x', 200)}"
+    assert words("story", 150) in got[20]
+
+
 def test_licenses(docs):
     assert [r.licences for r in licenses.scan(docs).collect()] == [[]] * len(ROWS)
     known = {licenses.normalise(s): k for k, s in licenses.SENTENCES.items()}
