@@ -85,6 +85,39 @@ def test_components_by_search(spark):
     assert {r.xref: r.component for r in p.components().collect()} == want
 
 
+@pytest.fixture(scope="module")
+def people_200(spark, tmp_path_factory):
+    """The tables with the first 200 people: 50 beyond those of the bounded queries."""
+    out = f"{tmp_path_factory.mktemp('sf')}"
+    for n in ("customer", "orders", "nation", "region"):
+        df = spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet")
+        (df.filter("c_custkey < 200") if n == "customer" else df).write.parquet(f"file://{out}/{n}.parquet")
+    return f"file://{out}"
+
+
+def test_kinship_of_everyone(spark, people_200):
+    pe = {}
+    for r in catalog.pedigree(spark, people_200).parent_edge.collect():
+        pe.setdefault(r.child, set()).add(r.parent)
+    ids = [r.xref for r in catalog.pedigree(spark, people_200).individuals.collect()]
+    up = {}
+    for x in ids:
+        up[x], now, d = {x: 0}, {x}, 0
+        while now:
+            now, d = {q for c in now for q in pe.get(c, ())} - set(up[x]), d + 1
+            up[x].update(dict.fromkeys(now, d))
+    want = {}
+    for a in ids:
+        for b in ids:
+            if a != b and (both := up[a].keys() & up[b].keys()):
+                want[a, b] = min((max(up[a][x], up[b][x]), up[a][x] + up[b][x], x, up[a][x], up[b][x]) for x in both)[3:]
+    assert max(ids) >= 199
+    got = {(r.a, r.b): r for r in catalog.queries()["kinship_label_all"](spark, people_200).collect()}
+    assert {k: (r.depth_a, r.depth_b) for k, r in got.items()} == want
+    cousins = {(r.a, r.b) for r in catalog.queries()["cousins_1_all"](spark, people_200).collect()}
+    assert cousins == {k for k, v in want.items() if v == (2, 2)} and max(cousins)[0] >= 150
+
+
 def test_dates(spark):
     cases = {"3 MAR 1880": ("exact", 1880, 3, 3), "abt 1850": ("about", 1850, None, None), "BEF JUN 1900": ("before", 1900, 6, None), "BET 1900 AND 1905": ("between", 1900, None, None), "FROM 1 JAN 1900 TO 1901": ("from_to", 1900, 1, 1), "31 FEB 1900": ("invalid", None, None, None), "x": ("invalid", None, None, None), None: ("invalid", None, None, None)}
     d = spark.createDataFrame([(k,) for k in cases], "s string")
