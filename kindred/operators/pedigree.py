@@ -172,6 +172,24 @@ class Pedigree:
         d = self.distances(sources).filter("hops > 0 and node like 'I%'")
         return d.groupBy("source").agg((1 / F.avg("hops")).alias("closeness"))
 
+    def path_sums(self, block: int = 2000) -> DataFrame:
+        """(source, farthest, total, reached) of everyone who reaches another person: hops to the other people, without a cap. A search runs for about ``block`` sources at a time."""
+        n = max(1, -(-self.individuals.count() // block))
+        out = None
+        for k in range(n):
+            d = self.distances(self.individuals.filter(F.pmod(F.xxhash64("xref"), F.lit(n)) == k)).filter("hops > 0 and node like 'I%'")
+            part = materialize(d.groupBy("source").agg(F.max("hops").alias("farthest"), F.sum("hops").alias("total"), F.count("*").alias("reached")))
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    def diameter(self) -> DataFrame:
+        """The most hops between two connected people; 0 without such a pair."""
+        return self.path_sums().agg(F.coalesce(F.max("farthest"), F.lit(0)).cast("long").alias("diameter"))
+
+    def average_path_length(self) -> DataFrame:
+        """Mean hops over the connected pairs of people; 0 without such a pair."""
+        return self.path_sums().agg(F.coalesce(F.round(F.sum("total") / F.sum("reached"), 6), F.lit(0.0)).alias("mean_hops"))
+
     def geodesics(self, sources: DataFrame, max_hops: int = 0) -> DataFrame:
         """(source, node, path): one shortest path each, the least in order of node names. Its head is a least path too, so a level keeps one path a pair."""
         e = materialize(self.edges.select("src", "dst").distinct())

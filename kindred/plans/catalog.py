@@ -67,6 +67,10 @@ add("shortest_path_length", lambda p, *_: p.distances(p.roots(PERSON), 6), HOPS
 add("closeness_sample", lambda p, *_: p.distances(p.roots(PERSON), 6).filter("hops > 0 and node like 'I%'").groupBy("source").agg(F.round(1 / F.avg("hops"), 6).alias("closeness")), HOPS + "SELECT source, round(1 / avg(hops), 6) AS closeness FROM d WHERE hops > 0 AND node LIKE 'I%' GROUP BY 1")
 add("diameter_bounded", lambda p, *_: p.distances(p.roots(PERSON), 6).agg(F.max("hops").alias("diameter")), HOPS + "SELECT max(hops) AS diameter FROM d")
 add("avg_path_length_bounded", lambda p, *_: p.distances(p.roots(PERSON), 6).filter("hops > 0 and node like 'I%'").agg(F.round(F.avg("hops"), 6).alias("mean_hops")), HOPS + "SELECT round(avg(hops), 6) AS mean_hops FROM d WHERE hops > 0 AND node LIKE 'I%'")
+# everyone, without a cap; too slow in SQL
+add("diameter", lambda p, *_: p.diameter())
+add("avg_path_length", lambda p, *_: p.average_path_length())
+add("closeness", lambda p, *_: p.path_sums().select("source", F.round(F.col("reached") / F.col("total"), 6).alias("closeness")))
 add("all_paths_bounded", lambda p, *_: p.all_paths(20, 21, 4).select(F.array_join("nodes", ">").alias("nodes"), "length", "path_type"),
     ", w(nodes, t, last, n) AS (SELECT ['I20'], CAST([] AS VARCHAR[]), 'I20', 0 UNION ALL SELECT list_append(nodes, dst), list_append(t, edge_type), dst, n + 1 FROM w JOIN edge ON src = last WHERE n < 4 AND last <> 'I21' AND NOT list_contains(nodes, dst)) "
     "SELECT array_to_string(nodes, '>') AS nodes, CAST(n AS BIGINT) AS length, CASE WHEN list_has_any(t, ['FAMC', 'CHIL']) AND list_has_any(t, ['HUSB', 'WIFE', 'FAMS']) THEN 'mixed' WHEN list_has_any(t, ['HUSB', 'WIFE', 'FAMS']) THEN 'marital' ELSE 'blood' END AS path_type FROM w WHERE last = 'I21'")

@@ -118,6 +118,27 @@ def test_kinship_of_everyone(spark, people_200):
     assert cousins == {k for k, v in want.items() if v == (2, 2)} and max(cousins)[0] >= 150
 
 
+def test_path_metrics_of_everyone(spark, people_200):
+    p = catalog.pedigree(spark, people_200)
+    near = {}
+    for r in p.edges.collect():
+        near.setdefault(r.src, set()).add(r.dst)
+    sums = {}
+    for x in (f"I{r.xref}" for r in p.individuals.collect()):
+        hops, now, d = {x: 0}, {x}, 0
+        while now:
+            now, d = {b for a in now for b in near.get(a, ())} - set(hops), d + 1
+            hops.update(dict.fromkeys(now, d))
+        if far := [h for n, h in hops.items() if h and n[0] == "I"]:
+            sums[x] = (max(far), sum(far), len(far))
+    assert max(f for f, _, _ in sums.values()) > 6
+    assert {r.source: (r.farthest, r.total, r.reached) for r in p.path_sums(block=120).collect()} == sums
+    q = catalog.queries()
+    assert q["diameter"](spark, people_200).first()[0] == max(f for f, _, _ in sums.values())
+    assert q["avg_path_length"](spark, people_200).first()[0] == round(sum(t for _, t, _ in sums.values()) / sum(n for _, _, n in sums.values()), 6)
+    assert {r.source: r.closeness for r in q["closeness"](spark, people_200).collect()} == {x: round(n / t, 6) for x, (_, t, n) in sums.items()}
+
+
 def test_dates(spark):
     cases = {"3 MAR 1880": ("exact", 1880, 3, 3), "abt 1850": ("about", 1850, None, None), "BEF JUN 1900": ("before", 1900, 6, None), "BET 1900 AND 1905": ("between", 1900, None, None), "FROM 1 JAN 1900 TO 1901": ("from_to", 1900, 1, 1), "31 FEB 1900": ("invalid", None, None, None), "x": ("invalid", None, None, None), None: ("invalid", None, None, None)}
     d = spark.createDataFrame([(k,) for k in cases], "s string")
