@@ -50,6 +50,22 @@ def candidate_pairs(people: DataFrame, largest: int = 5000) -> DataFrame:
     return a.join(b, "key").filter("a < b").select("a", "b").distinct()
 
 
+def candidate_pairs_all(people: DataFrame, chunk: int = 1000) -> DataFrame:
+    """(a, b), a < b, that share a block of any size, those of phonetic surname and neighbouring birth years among them. Blocks are dealt into chunks of about ``chunk`` people and joined chunk by chunk; a pair comes from the least of its common keys, so no pair is dealt again to be made distinct. Blocks of one year lie within those of its span, and those of two letters within those of one: they add no pair."""
+    sx, year = S.soundex(F.col("surname")), F.year("birth_date")
+    near = F.when(year.isNotNull(), F.transform(F.array(year - 1, year, year + 1), lambda y: F.concat_ws("|", F.concat(F.lit("Y"), sx), y.cast("string"))))
+    keyed = block_keys(people).select("xref", F.concat(F.filter("keys", lambda k: ~F.substring(k, 1, 1).isin("P", "G")), F.coalesce(near, F.array().cast("array<string>"))).alias("keys")).withColumn("key", F.explode("keys"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
+    keyed = keyed.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("xref"), F.col("chunks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    a = keyed.select("key", F.col("own").alias("i"), every.alias("j"), F.col("xref").alias("a"), F.col("keys").alias("a_keys"))
+    b = keyed.select("key", every.alias("i"), F.col("own").alias("j"), F.col("xref").alias("b"), F.col("keys").alias("b_keys"))
+    # dealt by hand: rows are few and pairs many, and adaptive execution would put all into one task
+    cells = max(1, int(people.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    a, b = (x.repartition(cells, "key", "i", "j") for x in (a, b))
+    return a.join(b, ["key", "i", "j"]).filter("a < b").filter(F.array_min(F.array_intersect("a_keys", "b_keys")) == F.col("key")).select("a", "b")
+
+
 def name_score(a: Column, b: Column) -> Column:
     x, y = S.normalize_name(a), S.normalize_name(b)
     return F.coalesce(F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).otherwise(F.greatest(S.string_similarity(x, y), F.when(x.contains(y) | y.contains(x), 0.6).otherwise(0.0))), F.lit(0.0))

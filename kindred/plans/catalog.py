@@ -152,6 +152,9 @@ add("soundex_codes", lambda p, *_: p.individuals.select("xref", S.soundex(F.col(
 add("block_sizes", lambda p, *_: R.block_sizes(p.individuals), KEYS + "SELECT key, count(*) AS n FROM k GROUP BY 1")
 add("candidate_pairs", lambda p, *_: R.candidate_pairs(p.individuals), PAIRS + "SELECT a, b FROM q")
 add("duplicates_scored", lambda p, *_: R.score_pairs(R.candidate_pairs(p.individuals), p.individuals, pedigree=p), None)
+add("candidate_pairs_all", lambda p, *_: R.candidate_pairs_all(p.individuals))
+add("duplicates_scored_all", lambda p, *_: R.score_pairs(R.candidate_pairs_all(p.individuals), p.individuals, pedigree=p))
+add("relation_scores_all", lambda p, *_: R.relation_scores(R.candidate_pairs_all(p.individuals), p))
 add("relation_scores", lambda p, *_: R.relation_scores(R.candidate_pairs(p.individuals), p), PAIRS.rstrip() + """, l AS (SELECT 'p' AS t, child AS x, parent AS y FROM pe UNION SELECT 's', a, b FROM se UNION SELECT 'c', parent, child FROM pe),
  z AS (SELECT q.a, q.b, u.t FROM q JOIN l u ON u.x = q.a JOIN l v ON v.x = q.b AND v.t = u.t AND v.y = u.y)
  SELECT a, b, round(CAST(least(count(*) FILTER (t = 'p') * 0.1, 0.2) + CASE WHEN count(*) FILTER (t = 's') > 0 THEN 0.2 ELSE 0 END + least(count(*) FILTER (t = 'c') * 0.1, 0.3) AS DOUBLE) / 0.7, 6) AS relation_score FROM z GROUP BY 1, 2""")

@@ -139,6 +139,19 @@ def test_path_metrics_of_everyone(spark, people_200):
     assert {r.source: r.closeness for r in q["closeness"](spark, people_200).collect()} == {x: round(n / t, 6) for x, (_, t, n) in sums.items()}
 
 
+def test_pairs_of_blocks_of_any_size(spark):
+    from kindred.operators import records as R
+
+    big = [(i, "Smith", f"{'abcdefgh'[i % 8]}x", datetime.date(1990, 1, 1), f"p{i}") for i in range(400)]
+    near = [(9001, "Jones", "ann", datetime.date(1894, 1, 1), "x"), (9002, "Jonas", "bob", datetime.date(1895, 1, 1), "y"), (9003, "Jones", "cat", datetime.date(1897, 1, 1), "z"), (9004, "Jones", None, None, None)]
+    people = spark.createDataFrame(big + near, "xref long, surname string, given string, birth_date date, birth_place string")
+    pairs = R.candidate_pairs_all(people, chunk=50)
+    assert pairs.filter("a < 9000").count() == pairs.filter("a < 9000").distinct().count() == 400 * 399 // 2
+    assert R.candidate_pairs(people, largest=100).filter("a < 9000").count() < 400 * 399 // 2
+    # 9001 and 9002: neighbouring years on both sides of a five-year span; 9002 and 9003: the same span and, a year off each, one common year
+    assert sorted((r.a, r.b) for r in pairs.filter("a > 9000").collect()) == [(9001, 9002), (9002, 9003)]
+
+
 def test_dates(spark):
     cases = {"3 MAR 1880": ("exact", 1880, 3, 3), "abt 1850": ("about", 1850, None, None), "BEF JUN 1900": ("before", 1900, 6, None), "BET 1900 AND 1905": ("between", 1900, None, None), "FROM 1 JAN 1900 TO 1901": ("from_to", 1900, 1, 1), "31 FEB 1900": ("invalid", None, None, None), "x": ("invalid", None, None, None), None: ("invalid", None, None, None)}
     d = spark.createDataFrame([(k,) for k in cases], "s string")
