@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where it is unset (tests)."""
+    """The cluster's ``spark.checkpoint.dir``; where it is unset, a temporary folder in local mode (tests) and an error on a cluster, whose executors would not share one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="kindred-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -31,3 +33,11 @@ def join_small(left: DataFrame, right: DataFrame, on, how: str, max_rows: int =
 
     small = right.limit(max_rows + 1).count() <= max_rows
     return left.join(F.broadcast(right) if small else right, on, how)
+
+
+def spare(taken: list[str], name: str) -> str:
+    """``name``, with as many underscores in front as make it differ from the ``taken`` columns (in any case, as Spark compares)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
