@@ -1,12 +1,18 @@
 """Operator 7, removal of 100-byte strings that start earlier in the corpus, by hash-compared suffix sorting.
 
-Each 100-byte window has one anchor, the least 50-byte hash in it; equal windows have equal anchors at equal places. Runs of
-windows with one anchor are the unit: runs with equal bytes are folded to the earliest, within each task's buffer before the one
-shuffle of runs, and only runs whose anchor occurs with different bytes around it are sorted, as suffixes, by mergesort; a
-comparison finds the common extension from prefix polynomial hashes by binary search, and equal neighbours are verified byte by
-byte. An anchor with over HOT different runs is spread by the 64-bit hashes of its windows, which fold to the earliest. Equal
-whole texts are folded first (SHA-256). Null text counts as empty; null doc_ids take no part. doc_id orders the documents and
-should be unique.
+Dealing out: each 100-byte window has one anchor, the least 50-byte hash in it, so equal windows have equal anchors at equal
+places, and windows whose anchor occurs once need no comparison. Neighbouring windows of one anchor are a run. Only runs whose
+anchor occurs again send their bytes: equal runs are folded to the earliest by comparing the bytes, first within each task (so a
+run in a third of the documents leaves a task a few times, whatever its count), then across tasks.
+Sorting: the windows of the different runs of an anchor are suffixes, sorted by mergesort; a comparison finds the common
+extension by binary search over prefix polynomial hashes modulo 2**61 - 1, and neighbours that these call equal are verified byte
+by byte. An anchor with over SPREAD different runs goes to many tasks: its windows are dealt out by their hash, each with its
+bytes, and folded as runs are.
+So every removed byte rests on compared bytes; only whole texts are told apart by SHA-256, to fold exact copies first.
+
+Null and empty texts have nothing to remove; texts of any length are read in overlapping pieces. Rows with a null doc_id take no
+part and stay as they are. Rows of one doc_id are numbered and the first of equal texts is kept whole. Ties can't occur: a place
+is a document and a start. Columns of any other name pass through. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,30 +21,60 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.plans.store import join_small, materialize
+from kindred.plans.store import join_small, materialize, spare
 
-SIZE, ANCHOR, BUFFER, HOT = 100, 50, 1 << 23, 256
+SIZE, ANCHOR, BUFFER, SPREAD, KEPT = 100, 50, 1 << 20, 4096, 100_000
 BASE = 0x9E3779B97F4A7C15
 U = np.uint64
+PRIME, LOW31, LOW30 = U((1 << 61) - 1), U((1 << 31) - 1), U((1 << 30) - 1)
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo 2**61 - 1, for any 64-bit x."""
+    x = (x & PRIME) + (x >> U(61))
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2**61 - 1, from products of halves that fit in 64 bits."""
+    ah, al, bh, bl = a >> U(31), a & LOW31, b >> U(31), b & LOW31
+    middle = al * bh + ah * bl
+    return reduced(U(2) * ah * bh + (middle >> U(30)) + ((middle & LOW30) << U(31)) + reduced(al * bl))
+
+
+_powers = np.ones(1, U)
+
+
+def powers(n: int) -> np.ndarray:
+    """The first n powers of the base; the table doubles as needed."""
+    global _powers
+    while len(_powers) < n:
+        step = times(_powers[-1:], np.array([BASE % int(PRIME)], U))
+        _powers = np.concatenate((_powers, times(_powers, np.broadcast_to(step, _powers.shape))))
+    return _powers[:n]
 
 
 class Hashes:
-    """Polynomial hashes modulo 2**64 of a buffer's substrings, from prefix sums."""
+    """Polynomial hashes modulo 2**61 - 1 of a buffer's prefixes."""
 
     def __init__(self, raw: np.ndarray):
-        n = len(raw)
-        power = np.full(n + 1, BASE, U)
-        back = np.full(n + 1, pow(BASE, -1, 1 << 64), U)
-        power[0] = back[0] = 1
-        np.multiply.accumulate(power, out=power), np.multiply.accumulate(back, out=back)
-        self.back, self.sums = back, np.zeros(n + 1, U)
-        np.cumsum((raw.astype(U) + U(1)) * power[:n], out=self.sums[1:])
+        self.power = powers(len(raw) + 1)
+        x, p = raw.astype(U) + U(1), self.power[:-1]
+        high, low = np.cumsum(x * (p >> U(32))), np.cumsum(x * (p & U(0xFFFFFFFF)))  # below 2**64 up to 2**22 bytes
+        total = (high >> U(29)) + ((high & U((1 << 29) - 1)) << U(32))  # 2**61 is 1 here
+        self.sums = np.concatenate((np.zeros(1, U), reduced(reduced(total) + reduced(low))))
 
-    def of(self, start: np.ndarray, length) -> np.ndarray:
-        return (self.sums[start + length] - self.sums[start]) * self.back[start]
+    def equal(self, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Whether the hashes of the substrings at a and b agree; the earlier one is moved up to the later by a power."""
+        first, second = np.minimum(a, b), np.maximum(a, b)
+        x = reduced(self.sums[first + length] + (PRIME - self.sums[first]))
+        y = reduced(self.sums[second + length] + (PRIME - self.sums[second]))
+        return times(x, self.power[second - first]) == y
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -47,19 +83,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(33))
 
 
+def gram_hashes(raw: np.ndarray) -> np.ndarray:
+    """A hash of each ANCHOR bytes, from one rolling sum modulo 2**64: it only deals windows out and decides nothing."""
+    n = len(raw)
+    power, back = np.full(n + 1, BASE, U), np.full(n + 1, pow(BASE, -1, 1 << 64), U)
+    power[0] = back[0] = 1
+    np.multiply.accumulate(power, out=power), np.multiply.accumulate(back, out=back)
+    sums = np.zeros(n + 1, U)
+    np.cumsum((raw.astype(U) + U(1)) * power[:n], out=sums[1:])
+    return mix((sums[ANCHOR:] - sums[:-ANCHOR]) * back[: n - ANCHOR + 1])
+
+
 def anchor_runs(texts: list[bytes]):
-    """doc index, lo, cnt (windows), rel (anchor after lo), anchor hash, hash of the run's bytes."""
+    """Index of the text, lo, cnt (windows), rel (anchor after lo) and anchor hash of each run; None without a window."""
     raw = np.frombuffer(b"".join(texts), np.uint8)
     lengths = np.array([len(t) for t in texts])
     begins = np.concatenate(([0], np.cumsum(lengths)[:-1]))
     counts = np.maximum(0, lengths - SIZE + 1)
     if not counts.sum():
         return None
-    h = Hashes(raw)
-    n = len(raw) - ANCHOR + 1
-    grams = mix(h.of(np.arange(n), ANCHOR))
-    key = ((grams >> U(32)) << U(32)) | np.arange(n, dtype=U)
-    least, width = key, 1
+    grams = gram_hashes(raw)
+    least, width = ((grams >> U(32)) << U(32)) | np.arange(len(grams), dtype=U), 1
     while width * 2 <= SIZE - ANCHOR + 1:
         least, width = np.minimum(least[:-width], least[width:]), width * 2
     rest = SIZE - ANCHOR + 1 - width
@@ -71,8 +115,7 @@ def anchor_runs(texts: list[bytes]):
     first = np.nonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]))))[0]
     cnt = np.diff(np.concatenate((first, [len(at)])))
     lo, a = at[first], anchor[first]
-    whole = mix(h.of(lo, cnt + SIZE - 1) ^ mix((cnt * 128 + a - lo).astype(U)))
-    return doc[first], lo - begins[doc[first]], cnt, a - lo, grams[a], whole
+    return doc[first], lo - begins[doc[first]], cnt, a - lo, grams[a]
 
 
 def compare(h: Hashes, raw: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +123,7 @@ def compare(h: Hashes, raw: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[n
     lo, hi = np.zeros(len(a), np.int64), np.full(len(a), SIZE, np.int64)
     while (lo < hi).any():
         mid = (lo + hi + 1) // 2
-        same = h.of(a, mid) == h.of(b, mid)
+        same = h.equal(a, b, mid)
         lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
     equal = lo == SIZE
     step = np.where(equal, 0, lo)
@@ -150,142 +193,178 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(s[new].tolist(), e[np.concatenate((new[1:] - 1, [len(e) - 1]))].tolist()))
 
 
-def local_fold(key: tuple[np.ndarray, ...], doc: np.ndarray, lo: np.ndarray, end: np.ndarray):
-    """Rows of equal key: indices of each key's earliest, and the merged spans (doc, s, e) of the rest. Ends grow with lo within a document."""
-    order = np.lexsort((lo, doc, *key))
-    same = np.ones(max(0, len(order) - 1), bool)
-    for k in key:
-        same &= k[order][1:] == k[order][:-1]
-    again = np.concatenate((np.zeros(min(1, len(order)), bool), same))
-    late = order[again]
-    late = late[np.lexsort((lo[late], doc[late]))]
-    d, s, e = doc[late], lo[late], end[late]
-    if not len(d):
-        return order[~again], d, s, e
-    new = np.nonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (s[1:] > e[:-1]))))[0]
-    return order[~again], d[new], s[new], e[np.concatenate((new[1:], [len(d)])) - 1]
+RUN = "h long, doc long, at long"  # at: lo, cnt and rel in one number
+CUT = "k long, doc long, s int, e int, h long, rel short, run binary"  # run null: a span that is known to be repeated
+FOUND = "doc long, s int, e int, h long, rel short, run binary"
 
 
-def spread(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A key for rows that need no company."""
-    return mix(doc.astype(U) * U(BASE) + at.astype(U)).view(np.int64)
+def pieces(text: bytes, size: int):
+    """(start, bytes) of pieces of at most ``size`` bytes; each window lies in just one."""
+    for at in range(0, max(1, len(text) - SIZE + 1), size - SIZE + 1):
+        yield at, text[at : at + size]
 
 
-def window_keys(runs: list[bytes], anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Run, step and hash of each window of the runs."""
-    counts = np.array([len(r) - SIZE + 1 for r in runs])
-    run = np.repeat(np.arange(len(runs)), counts)
-    step = np.arange(len(run)) - np.repeat(np.cumsum(counts) - counts, counts)
-    begins = np.cumsum(counts + SIZE - 1) - (counts + SIZE - 1)
-    h = Hashes(np.frombuffer(b"".join(runs), np.uint8))
-    return run, step, mix(h.of(begins[run] + step, SIZE) ^ mix(anchors.view(U)[run])).view(np.int64)
+def find_runs(batches, buffer: int = BUFFER):
+    """(doc, text) -> RUN rows."""
 
+    def emit(parts):
+        ids, starts, raws = zip(*parts)
+        if (found := anchor_runs(list(raws))) is not None:
+            d, lo, cnt, rel, h = found
+            at = (lo + np.array(starts)[d]) << 16 | cnt << 8 | rel
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.array(ids, np.int64)[d]), pa.array(at)], names=["h", "doc", "at"])
 
-RUN, FOUND, CUT = "h long, c long, doc long, at long", "doc long, s int, e int, h long, rel short, hot boolean", "h long, doc long, lo int, e int, rel short, run binary"
-WINDOW, SPAN = -1, -2  # rel of a lone window, and of a span that is known to be repeated
+    for b in batches:
+        parts, total = [], 0
+        for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
+            for start, raw in pieces(text.as_py(), buffer):
+                if parts and total + len(raw) > buffer:
+                    yield from emit(parts)
+                    parts, total = [], 0
+                parts.append((doc, start, raw))
+                total += len(raw)
+        if parts:
+            yield from emit(parts)
 
 
-def find_runs(batches):
-    """(doc, text) -> RUN rows. at: lo, cnt and rel in one number; or, of spans repeated in the same buffer, -1 - start, with the end in c."""
-    for b in batches:
-        ids, raws = b.column(0).to_numpy(), [t.encode() for t in b.column(1).to_pylist()]
-        i = 0
-        while i < len(raws):
-            j, total = i + 1, len(raws[i])
-            while j < len(raws) and total + len(raws[j]) <= BUFFER:
-                total, j = total + len(raws[j]), j + 1
-            if (found := anchor_runs(raws[i:j])) is not None:
-                d, lo, cnt, rel, h, c = found
-                doc, h, c = ids[i:j][d], h.view(np.int64), c.view(np.int64)
-                first, sd, ss, se = local_fold((c, h), doc, lo, lo + cnt + SIZE - 1)
-                at = (lo << 16 | cnt << 8 | rel)[first]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in ((h[first], spread(sd, ss)), (c[first], se), (doc[first], sd), (at, -1 - ss))], names=["h", "c", "doc", "at"])
-            i = j
-
-
-def fold_runs(batches):
-    """RUN rows in order of h, c, doc, at -> FOUND rows: spans (h null), and the runs to sort of anchors with different runs."""
-
-    def decide(h, c, doc, at):
-        known = at < 0
-        sd, ss, se = doc[known], -1 - at[known], c[known]
-        h, c, doc, at = (x[~known] for x in (h, c, doc, at))
-        lo, end, rel = at >> 16, (at >> 16) + (at >> 8 & 255) + SIZE - 1, at & 255
-        start = min(1, len(h))
-        new_h = np.concatenate((np.ones(start, bool), h[1:] != h[:-1]))
-        new = new_h | np.concatenate((np.ones(start, bool), c[1:] != c[:-1]))
-        kinds = np.bincount(np.cumsum(new_h)[new], minlength=int(new_h.sum()) + 1)[np.cumsum(new_h)]
-        ask = new & (kinds > 1)
-        n, k = len(sd) + int((~new).sum()), int(ask.sum())
-        none = np.arange(n + k) < n
-        pad = np.zeros(n, np.int64)
-        cols = [np.concatenate((sd, doc[~new], doc[ask])), np.concatenate((ss, lo[~new], lo[ask])), np.concatenate((se, end[~new], end[ask])), np.concatenate((pad, h[ask])), np.concatenate((pad, rel[ask])), np.concatenate((pad, kinds[ask])) > HOT]
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int16(), pa.bool_()]
-        return pa.RecordBatch.from_arrays([pa.array(x.astype(t.to_pandas_dtype()), t, mask=none if i == 3 else None) for i, (x, t) in enumerate(zip(cols, types))], names=["doc", "s", "e", "h", "rel", "hot"])
-
-    kept = None  # the last anchor's rows, which the next batch may go on with
-    for b in batches:
-        if not b.num_rows:
-            continue
-        now = [b.column(i).to_numpy() for i in range(4)]
-        now = now if kept is None else [np.concatenate(x) for x in zip(kept, now)]
-        cut = int(np.searchsorted(now[0], now[0][-1]))
-        kept = [x[cut:] for x in now]
-        if cut:
-            yield decide(*(x[:cut] for x in now))
-    if kept is not None:
-        yield decide(*kept)
+def cut_batch(rows: list[tuple], kinds: tuple) -> pa.RecordBatch:
+    cols = zip(*rows) if rows else [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["k", "doc", "s", "e", "h", "rel", "run"])
+
+
+KINDS = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int16(), pa.binary())
+
+
+class Earliest:
+    """The earliest place of each string that a task has seen lately, compared on bytes."""
+
+    def __init__(self):
+        self.place: dict[bytes, tuple[int, int]] = {}
+
+    def repeated(self, string: bytes, doc: int, at: int) -> bool:
+        """Whether an earlier place was seen; else this one is noted."""
+        here, was = (doc, at), self.place.get(string)
+        if was is not None and was < here:
+            return True
+        if len(self.place) >= KEPT:
+            self.place.clear()
+        self.place[string] = here
+        return False
+
+
+def key_of(string: bytes) -> int:
+    x = xxhash.xxh64_intdigest(string)
+    return x - (1 << 64) if x >> 63 else x
 
 
 def cut_runs(batches, step: int = 256):
-    """(doc, text, asked) -> CUT rows: the bytes of runs, but of hot anchors each window's hash, folded within the step."""
+    """(doc, text, hs, ats) -> CUT rows; what is known to repeat an earlier run of the same task goes on as a span."""
+    seen = Earliest()
+    for big in batches:
+        for i in range(0, big.num_rows, step):
+            b, out = big.slice(i, step), []
+            for doc, text, hs, ats in sorted(zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist()), key=lambda r: r[0]):
+                raw, first, last = text.as_py(), 0, -1
+                for h, at in zip(hs, ats):
+                    lo, rel = at >> 16, at & 255
+                    end = lo + (at >> 8 & 255) + SIZE - 1
+                    run = raw[lo:end]
+                    if not seen.repeated(run, doc, lo):
+                        out.append((key_of(run), doc, lo, end, h, rel, run))
+                    elif lo <= last:
+                        last = max(last, end)
+                    else:
+                        if last >= 0:
+                            out.append((doc * 31 + first, doc, first, last, None, None, None))
+                        first, last = lo, end
+                if last >= 0:
+                    out.append((doc * 31 + first, doc, first, last, None, None, None))
+            yield cut_batch(out, KINDS)
+
+
+def cut_windows(batches, step: int = 256):
+    """FOUND rows of runs -> CUT rows of their windows."""
+    seen = Earliest()
     for big in batches:
-        for at in range(0, big.num_rows, step):
-            out, hot = [], []
-            b = big.slice(at, step)
-            for doc, text, wanted in zip(*(b.column(i).to_pylist() for i in range(3))):
-                raw = text.encode()
-                for r in wanted:
-                    run = raw[r["s"] : r["e"]]
-                    hot.append((r["h"], doc, r["s"], run)) if r["hot"] else out.append((r["h"], doc, r["s"], r["e"], r["rel"], run))
-            if hot:
-                run, off, key = window_keys([x[3] for x in hot], np.array([x[0] for x in hot], np.int64))
-                doc, lo = np.array([x[1] for x in hot])[run], np.array([x[2] for x in hot])[run] + off
-                first, sd, ss, se = local_fold((key,), doc, lo, lo + SIZE)
-                out += [(*x, WINDOW, None) for x in zip(key[first].tolist(), doc[first].tolist(), lo[first].tolist(), (lo[first] + SIZE).tolist())]
-                out += [(*x, SPAN, None) for x in zip(spread(sd, ss).tolist(), sd.tolist(), ss.tolist(), se.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int16(), pa.binary()))], names=["h", "doc", "lo", "e", "rel", "run"])
+        for i in range(0, big.num_rows, step):
+            b, out = big.slice(i, step), []
+            for doc, lo, run in zip(*(b.column(c).to_pylist() for c in ("doc", "s", "run"))):
+                for at in range(len(run) - SIZE + 1):
+                    window, s = run[at : at + SIZE], lo + at
+                    again = seen.repeated(window, doc, s)
+                    out.append((doc * 31 + s, doc, s, s + SIZE, None, None, None) if again else (key_of(window), doc, s, s + SIZE, 0, 0, window))
+            yield cut_batch(out, KINDS)
+
+
+def fold_equal(batches):
+    """CUT rows in order of k, run, doc, s -> FOUND rows: the earliest of equal runs; the others are spans (run null)."""
+    last_k = last_run = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k, run, n = b.column("k"), b.column("run"), b.num_rows
+        same = np.zeros(n, bool)
+        if n > 1:
+            both = pc.and_(pc.equal(k[1:], k[:-1]), pc.fill_null(pc.equal(run[1:], run[:-1]), False))
+            same[1:] = both.to_numpy(zero_copy_only=False)
+        same[0] = run[0].is_valid and k[0].as_py() == last_k and run[0].as_py() == last_run
+        last_k, last_run = k[n - 1].as_py(), run[n - 1].as_py()
+        kept = pa.array(~same)
+        cols = [b.column("doc"), b.column("s"), b.column("e"), *(pc.if_else(kept, b.column(c), pa.scalar(None, b.schema.field(c).type)) for c in ("h", "rel", "run"))]
+        yield pa.RecordBatch.from_arrays(cols, names=["doc", "s", "e", "h", "rel", "run"])
 
 
 def sort_runs(table: pa.Table) -> pa.Table:
-    """CUT rows of a bucket -> (doc, s, e): spans of windows with an equal one in an earlier place."""
-    h, doc, lo, end, rel = (table.column(c).to_numpy().astype(np.int64) for c in ("h", "doc", "lo", "e", "rel"))
-    run, lone, span = rel >= 0, rel == WINDOW, rel == SPAN
-    d, s = later_windows(doc[run], lo[run], rel[run], h[run], table.column("run").filter(pa.array(run)).to_pylist()) if run.any() else (doc[:0], lo[:0])
-    _, wd, ws, we = local_fold((h[lone],), doc[lone], lo[lone], end[lone])
-    _, rd, rs, re_ = local_fold((np.zeros(len(d) + 1, np.int64),), np.concatenate(([-(1 << 62)], d)), np.concatenate(([0], s)), np.concatenate(([0], s + SIZE)))
-    cols = [np.concatenate(x) for x in ((doc[span], wd, rd), (lo[span], ws, rs), (end[span], we, re_))]
-    return pa.table({"doc": pa.array(cols[0], pa.int64()), "s": pa.array(cols[1].astype(np.int32)), "e": pa.array(cols[2].astype(np.int32))})
-
-
-def repeated_spans(docs: DataFrame, bucket_rows: int = 8_000) -> DataFrame:
-    """(doc_id long, text) -> docs with ``_spans`` (array of struct(s, e), unmerged; null if none) and ``_copy`` (equal to an earlier text). Rows without doc_id take no part."""
-    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    keyed = materialize(texts.select("doc", F.unhex(F.sha2("text", 256)).alias("d")))
+    """FOUND rows of runs of some anchors -> (doc, s, e): spans of windows with an equal one in an earlier place."""
+    h = table.column("h").to_numpy()
+    _, back, n = np.unique(h, return_inverse=True, return_counts=True)
+    table = table.filter(pa.array(n[back] > 1))
+    h, doc, lo, rel = (table.column(c).to_numpy().astype(np.int64) for c in ("h", "doc", "s", "rel"))
+    d, s = later_windows(doc, lo, rel, h, table.column("run").to_pylist()) if len(h) else (h, h)
+    order = np.lexsort((s, d))
+    d, s = d[order], s[order]
+    new = np.nonzero(np.concatenate((np.ones(min(1, len(d)), bool), (d[1:] != d[:-1]) | (s[1:] > s[:-1] + SIZE))))[0]
+    ends = s[np.concatenate((new[1:], [len(d)])).astype(np.int64) - 1] + SIZE if len(d) else s
+    return pa.table({"doc": pa.array(d[new], pa.int64()), "s": pa.array(s[new].astype(np.int32)), "e": pa.array(ends.astype(np.int32))})
+
+
+def with_keys(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a unique long that orders the rows by doc_id (null where that is null), and its name. Only where a doc_id repeats are the rows numbered, over a copy in shared storage, so that a lost task finds the same numbers."""
+    key = spare(docs.columns, "_key")
+    ids = docs.select(F.col("doc_id").cast("long").alias("id")).filter("id is not null")
+    if ids.groupBy("id").count().filter("count > 1").isEmpty():
+        return docs.withColumn(key, F.col("doc_id").cast("long")), key
+    row = spare([*docs.columns, key], "_row")
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
+    order = rows.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), row).repartitionByRange("id", row).sortWithinPartitions("id", row)
+    order = materialize(order.select(row, F.monotonically_increasing_id().alias(key)))
+    return materialize(rows.join(order, row, "left").drop(row)), key
+
+
+def repeated_spans(docs: DataFrame, bucket_rows: int = 8_000, most: int = SPREAD) -> tuple[DataFrame, str, str]:
+    """(doc_id, text) -> docs with spans (array of struct(s, e), unmerged; null if none) and whether the text is equal to an earlier one; and the names of these two columns."""
+    docs, key = with_keys(docs)
+    texts = docs.filter(F.col(key).isNotNull() & (F.octet_length("text") >= SIZE)).select(F.col(key).alias("doc"), F.encode("text", "UTF-8").alias("raw"))
+    keyed = materialize(texts.select("doc", F.unhex(F.sha2("raw", 256)).alias("d")))
     least = materialize(keyed.groupBy("d").agg(F.min("doc").alias("least"), F.count("*").alias("n")).filter("n > 1"))
-    copies = materialize(join_small(keyed, least, "d", "inner").filter("doc != least").select("doc").distinct())
-    only = texts.filter(F.octet_length("text") >= SIZE).join(copies, "doc", "left_anti")
-    runs = only.mapInArrow(find_runs, RUN).repartition("h").sortWithinPartitions("h", "c", "doc", "at")
-    found = materialize(runs.mapInArrow(fold_runs, FOUND))
-    asked = found.filter("h is not null")
-    size = asked.agg(F.sum(F.expr(f"if(hot, e - s - {SIZE - 1}, 1)"))).first()[0] or 0
-    by_doc = materialize(asked.groupBy("doc").agg(F.collect_list(F.struct("h", "s", "e", "rel", "hot")).alias("asked")))
-    cuts = texts.join(by_doc, "doc").select("doc", "text", "asked").mapInArrow(cut_runs, CUT)
-    sorted_ = cuts.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(size // bucket_rows + 1))).groupBy("bucket").applyInArrow(sort_runs, "doc long, s int, e int")
-    spans = found.filter("h is null").select("doc", "s", "e").union(sorted_).select("doc", F.struct("s", "e").alias("span"), F.lit(False).alias("copy"))
-    spans = spans.union(copies.select("doc", F.lit(None).cast("struct<s:int,e:int>"), F.lit(True)))
-    spans = materialize(spans.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("span").alias("_spans"), F.max("copy").alias("_copy")))
-    return docs.join(spans, docs.doc_id.cast("long") == F.col("_doc"), "left").drop("_doc")
+    copies = materialize(join_small(keyed, least, "d", "inner").filter("doc != least").select("doc"))
+    runs = materialize(join_small(texts, copies, "doc", "left_anti").mapInArrow(find_runs, RUN))
+    again = runs.groupBy("h").count().filter("count > 1").select("h")
+    asked = runs.join(again, "h", "left_semi").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("at", "h"))).alias("x"))
+    cuts = texts.join(materialize(asked.select("doc", F.col("x.h").alias("hs"), F.col("x.at").alias("ats"))), "doc").select("doc", "raw", "hs", "ats").mapInArrow(cut_runs, CUT)
+    found = materialize(cuts.repartition("k").sortWithinPartitions("k", "run", "doc", "s").mapInArrow(fold_equal, FOUND))
+    left = found.filter("run is not null")
+    crowded = materialize(left.groupBy("h").count().filter(F.col("count") > most).select("h"))
+    total = left.count()
+    few = join_small(left, crowded, "h", "left_anti").withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(total // bucket_rows + 1)))
+    spans = found.filter("run is null").select("doc", "s", "e").union(few.groupBy("bucket").applyInArrow(sort_runs, "doc long, s int, e int"))
+    if not crowded.isEmpty():
+        windows = join_small(left, crowded, "h", "left_semi").select(*left.columns).mapInArrow(cut_windows, CUT)
+        spans = spans.union(windows.repartition("k").sortWithinPartitions("k", "run", "doc", "s").mapInArrow(fold_equal, FOUND).filter("run is null").select("doc", "s", "e"))
+    every = spans.select("doc", F.struct("s", "e").alias("span"), F.lit(False).alias("copy")).union(copies.select("doc", F.lit(None).cast("struct<s:int,e:int>"), F.lit(True)))
+    names = spare(docs.columns, "_spans"), spare(docs.columns, "_copy"), spare(docs.columns, "_doc")
+    by_doc = materialize(every.groupBy(F.col("doc").alias(names[2])).agg(F.collect_list("span").alias(names[0]), F.max("copy").alias(names[1])))
+    return docs.join(by_doc, docs[key] == by_doc[names[2]], "left").drop(key, names[2]), names[0], names[1]
 
 
 def text_spans(text, spans, copy) -> tuple[bytes, list[tuple[int, int]]]:
@@ -320,7 +399,7 @@ def whole_characters(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated passages cut from text (whole characters) and n_chars made anew if there is one."""
-    marked = repeated_spans(docs)
+    marked, spans, copy = repeated_spans(docs)
 
     @F.pandas_udf("string")
     def clean(text, spans, copy):
@@ -332,14 +411,14 @@ def cleaned(docs: DataFrame) -> DataFrame:
             out.append(t if not found else kept_bytes(raw, whole_characters(raw, found)).decode())
         return pd.Series(out)
 
-    out = marked.withColumn("text", clean("text", "_spans", "_copy"))
+    out = marked.withColumn("text", clean("text", spans, copy))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
     return out.select(*docs.columns)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
-    marked = repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    marked, spans, copy = repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
     def digest(batches):
         for b in batches:
@@ -349,4 +428,4 @@ def op7(spark, sf_dir: str) -> DataFrame:
                 rows.append((doc, len(raw), sum(e - s for s, e in found), len(found), hashlib.sha256(kept_bytes(raw, found)).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string() if i == 4 else pa.int64()) for i in range(5)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return marked.select("doc_id", "text", "_spans", "_copy").mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return marked.select("doc_id", "text", spans, copy).mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

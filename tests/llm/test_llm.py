@@ -150,37 +150,89 @@ def test_quality(docs, none):
     assert quality.apply_hosts(quality.document_stats(none)).count() == 0
 
 
-def check_suffixes(docs, raws: dict[int, bytes]):
-    seen = set()
-    marked = {r.doc_id: suffixes.text_spans(r.text, r._spans, r._copy)[1] for r in suffixes.repeated_spans(docs).collect()}
-    assert len(marked) == len(raws)
-    for i, raw in raws.items():
+def check_suffixes(docs, rows: list[tuple], **how):
+    """rows: (doc_id, bytes), in the order that repeats of one id have."""
+    seen, want = set(), defaultdict(list)
+    for i, raw in sorted(rows, key=lambda r: r[0]):
         gone = set()
         for s in range(len(raw) - 99):
             if raw[s : s + 100] in seen:
                 gone.update(range(s, s + 100))
             seen.add(raw[s : s + 100])
-        assert {k for s, e in marked[i] for k in range(s, e)} == gone, i
-    assert any(marked.values())
+        want[i].append(bytes(c for k, c in enumerate(raw) if k not in gone))
+    marked, spans, copy = suffixes.repeated_spans(docs, **how)
+    got = defaultdict(list)
+    for r in marked.collect():
+        got[r.doc_id].append(suffixes.kept_bytes(*suffixes.text_spans(r.text, r[spans], r[copy])))
+    assert {i: sorted(x) for i, x in got.items()} == {i: sorted(x) for i, x in want.items()}
+    assert any(len(b"".join(want[i])) < sum(len(r) for j, r in rows if j == i) for i in want)
 
 
-def test_suffixes_hot_anchor(spark):
-    """A passage in more documents than HOT: the anchors at its edges have as many different runs."""
+def test_suffixes_crowded_anchor(spark):
+    """A passage in a third of the documents: the anchors at its edges have many different runs, and go to many tasks."""
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
     passage = " ".join(word() for _ in range(25))
     few = [" ".join(word() for _ in range(15)) for _ in range(7)]
-    rows = [(i, f"{rng.choice(few)} {passage} {' '.join(word() for _ in range(20)) if i % 2 else rng.choice(few)}") for i in range(2 * suffixes.HOT + 100)]
-    check_suffixes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), {i: t.encode() for i, t in rows})
+    rows = [(i, f"{rng.choice(few)} {passage if i % 3 == 0 else word()} {' '.join(word() for _ in range(20)) if i % 2 else rng.choice(few)}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for most in (3, 20, 4096):
+        check_suffixes(docs, [(i, t.encode()) for i, t in rows], most=most, bucket_rows=50)
 
 
 def test_suffixes(docs, none):
-    check_suffixes(docs, {i: (t or "").encode() for i, t, *_ in ROWS})
+    check_suffixes(docs, [(i, (t or "").encode()) for i, t, *_ in ROWS])
     out = {r.doc_id: r.text for r in suffixes.cleaned(docs).collect()}
     assert out[0] == TEXTS[0] and out[30] is None
     assert suffixes.cleaned(none).count() == 0
 
 
+def test_suffixes_repeated_ids_and_clashing_names(spark):
+    long_ = "".join(chr(97 + i * i % 23) + str(i) for i in range(60))
+    rows = [(5, long_), (5, long_), (2, "x" + long_), (7, "short"), (7, "short"), (None, long_), (9, None), (3, "y" * 150), (3, "y" * 150)]
+    docs = spark.createDataFrame([(*r, 1, "z", 2, 3, 4) for r in rows], "doc_id int, text string, _spans int, _copy string, _doc int, _key int, _ROW int")
+    out = suffixes.cleaned(docs)
+    assert out.columns == docs.columns
+    got = defaultdict(list)
+    for r in out.collect():
+        got[r.doc_id].append(r.text)
+    assert sorted(got[5]) == ["", ""] and got[2] == ["x" + long_] and sorted(got[3]) == ["", "y"] and got[7] == ["short"] * 2 and got[None] == [long_] and got[9] == [None]
+
+
+def test_suffixes_long_text_in_pieces():
+    import pyarrow as pa
+
+    raw = bytes(random.Random(4).choice(b"abc") for _ in range(3000))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([raw])], names=["doc", "raw"])
+    for buffer in (150, 700, 1 << 20):
+        starts = [s for b in suffixes.find_runs([batch], buffer) for at in b.column(2).to_pylist() for s in range(at >> 16, (at >> 16) + (at >> 8 & 255))]
+        assert sorted(starts) == list(range(2901))
+
+
+def test_suffixes_hash_collisions_are_verified(monkeypatch):
+    """Where hashes call everything equal, nothing that differs is removed."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(([7, 7, 7], [1, 2, 3], [0, 0, 0], [100] * 3, [1] * 3, [0] * 3, [b"a" * 100, b"a" * 100, b"b" * 100]), suffixes.KINDS)], names=["k", "doc", "s", "e", "h", "rel", "run"])
+    assert [r is None for b in suffixes.fold_equal([batch]) for r in b.column("run").to_pylist()] == [False, True, False]
+    monkeypatch.setattr(suffixes.Hashes, "equal", lambda self, a, b, length: np.ones(len(a), bool))
+    zero = np.zeros(3, np.int64)
+    d, s = suffixes.later_windows(np.arange(3), zero, zero, zero, [b"a" * 100, b"b" * 100, b"c" * 100])
+    assert len(d) == len(s) == 0
+
+
+def test_prime_hashes():
+    a, b = [int(x) % ((1 << 61) - 1) for x in np.random.default_rng(3).integers(0, 1 << 63, 50)], [(1 << 61) - 2 - i for i in range(50)]
+    got = suffixes.times(np.array(a, np.uint64), np.array(b, np.uint64))
+    assert got.tolist() == [x * y % ((1 << 61) - 1) for x, y in zip(a, b)]
+    raw = np.frombuffer(b"abracadabra" * 5, np.uint8)
+    h = suffixes.Hashes(raw)
+    for i in range(20):
+        for j in range(20):
+            for n in (0, 1, 7, 30):
+                assert h.equal(np.array([i]), np.array([j]), np.array([n]))[0] == (raw[i : i + n].tobytes() == raw[j : j + n].tobytes())
+
+
 def test_topk(spark):
     r = np.random.default_rng(1)
     rows = [(i, [float(x) for x in r.integers(-3, 4, 6) / 4]) for i in range(300)] + [(900, None), (901, [None] * 6), (1000, [float("nan")] * 6)]
