@@ -1,7 +1,8 @@
 """Operator 7, removal of 100-byte strings that start earlier in the corpus, by hash-compared suffix sorting.
 
 Dealing out: each 100-byte window has one anchor, the least 50-byte hash in it, so equal windows have equal anchors at equal
-places, and windows whose anchor occurs once need no comparison. Neighbouring windows of one anchor are a run. Only runs whose
+places, and windows whose anchor occurs once need no comparison. Neighbouring windows of one anchor are a run. Runs meet by
+anchor without their bytes, at most two of a buffer's for one anchor, for a third one knows that it has company. Only runs whose
 anchor occurs again send their bytes: equal runs are folded to the earliest by comparing the bytes, first within each task (so a
 run in a third of the documents leaves a task a few times, whatever its count), then across tasks.
 Sorting: the windows of the different runs of an anchor are suffixes, sorted by mergesort; a comparison finds the common
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from kindred.plans.store import join_small, materialize, spare
 
-SIZE, ANCHOR, BUFFER, SPREAD, KEPT = 100, 50, 1 << 20, 4096, 100_000
+SIZE, ANCHOR, BUFFER, SPREAD, KEPT, TWICE = 100, 50, 1 << 20, 4096, 100_000, 1 << 20
 BASE = 0x9E3779B97F4A7C15
 U = np.uint64
 PRIME, LOW31, LOW30 = U((1 << 61) - 1), U((1 << 31) - 1), U((1 << 30) - 1)
@@ -193,7 +194,7 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(s[new].tolist(), e[np.concatenate((new[1:] - 1, [len(e) - 1]))].tolist()))
 
 
-RUN = "h long, doc long, at long"  # at: lo, cnt and rel in one number
+RUN = "h long, doc long, at long"  # at: lo, cnt and rel in one number, -1 - that where known
 CUT = "k long, doc long, s int, e int, h long, rel short, run binary"  # run null: a span that is known to be repeated
 FOUND = "doc long, s int, e int, h long, rel short, run binary"
 
@@ -205,14 +206,27 @@ def pieces(text: bytes, size: int):
 
 
 def find_runs(batches, buffer: int = BUFFER):
-    """(doc, text) -> RUN rows."""
+    """(doc, text) -> RUN rows. An anchor's third and later runs in a buffer, and all after a buffer that had two, are known to have company: their ``at`` is -1 - at, and they need not meet the others."""
+    twice = np.empty(0, np.int64)
 
     def emit(parts):
+        nonlocal twice
         ids, starts, raws = zip(*parts)
-        if (found := anchor_runs(list(raws))) is not None:
-            d, lo, cnt, rel, h = found
-            at = (lo + np.array(starts)[d]) << 16 | cnt << 8 | rel
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.array(ids, np.int64)[d]), pa.array(at)], names=["h", "doc", "at"])
+        if (found := anchor_runs(list(raws))) is None:
+            return
+        d, lo, cnt, rel, h = found
+        h, at = h.view(np.int64), (lo + np.array(starts)[d]) << 16 | cnt << 8 | rel
+        order = np.argsort(h, kind="stable")
+        new = np.concatenate(([True], h[order][1:] != h[order][:-1]))
+        nth = np.empty(len(h), np.int64)
+        nth[order] = np.arange(len(h)) - np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+        known = nth > 1
+        if len(twice):
+            place = np.searchsorted(twice, h)
+            place[place == len(twice)] = 0
+            known |= twice[place] == h
+        twice = np.union1d(twice if len(twice) < TWICE else twice[:0], h[nth == 1])
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.array(ids, np.int64)[d]), pa.array(np.where(known, -1 - at, at))], names=["h", "doc", "at"])
 
     for b in batches:
         parts, total = [], 0
@@ -227,6 +241,33 @@ def find_runs(batches, buffer: int = BUFFER):
             yield from emit(parts)
 
 
+def with_company(batches):
+    """RUN rows in order of h -> those whose anchor occurs again, with ``at`` as it was."""
+
+    def emit(cols, alike):
+        h, doc, at = cols
+        again = np.concatenate(([alike], h[1:] == h[:-1]))
+        keep = again | np.concatenate((again[1:], [False])) | (at < 0)
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (h, doc, np.where(at < 0, -1 - at, at))], names=["h", "doc", "at"])
+
+    held, alike = None, False  # the last row waits for the next; whether it is like the one before it
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(c).to_numpy() for c in ("h", "doc", "at")]
+        if held is not None:
+            cols = [np.concatenate(x) for x in zip(held, cols)]
+        if len(cols[0]) > 1:
+            again = cols[0][-1] == cols[0][-2]
+            out = emit(cols, alike)
+            last = out.num_rows and (again or cols[2][-1] < 0 or (len(cols[0]) == 1 and alike))
+            yield out.slice(0, out.num_rows - 1) if last else out
+            alike = bool(again)
+        held = [x[-1:] for x in cols]
+    if held is not None:
+        yield emit(held, alike)
+
+
 def cut_batch(rows: list[tuple], kinds: tuple) -> pa.RecordBatch:
     cols = zip(*rows) if rows else [[]] * len(kinds)
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["k", "doc", "s", "e", "h", "rel", "run"])
@@ -348,9 +389,9 @@ def repeated_spans(docs: DataFrame, bucket_rows: int = 8_000, most: int = SPREAD
     keyed = materialize(texts.select("doc", F.unhex(F.sha2("raw", 256)).alias("d")))
     least = materialize(keyed.groupBy("d").agg(F.min("doc").alias("least"), F.count("*").alias("n")).filter("n > 1"))
     copies = materialize(join_small(keyed, least, "d", "inner").filter("doc != least").select("doc"))
-    runs = materialize(join_small(texts, copies, "doc", "left_anti").mapInArrow(find_runs, RUN))
-    again = runs.groupBy("h").count().filter("count > 1").select("h")
-    asked = runs.join(again, "h", "left_semi").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("at", "h"))).alias("x"))
+    runs = join_small(texts, copies, "doc", "left_anti").mapInArrow(find_runs, RUN)
+    runs = runs.repartition(F.when(F.col("at") < 0, F.xxhash64("doc", "at")).otherwise(F.col("h"))).sortWithinPartitions("h")
+    asked = runs.mapInArrow(with_company, RUN).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("at", "h"))).alias("x"))
     cuts = texts.join(materialize(asked.select("doc", F.col("x.h").alias("hs"), F.col("x.at").alias("ats"))), "doc").select("doc", "raw", "hs", "ats").mapInArrow(cut_runs, CUT)
     found = materialize(cuts.repartition("k").sortWithinPartitions("k", "run", "doc", "s").mapInArrow(fold_equal, FOUND))
     left = found.filter("run is not null")

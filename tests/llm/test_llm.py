@@ -205,10 +205,27 @@ def test_suffixes_long_text_in_pieces():
     raw = bytes(random.Random(4).choice(b"abc") for _ in range(3000))
     batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([raw])], names=["doc", "raw"])
     for buffer in (150, 700, 1 << 20):
-        starts = [s for b in suffixes.find_runs([batch], buffer) for at in b.column(2).to_pylist() for s in range(at >> 16, (at >> 16) + (at >> 8 & 255))]
+        places = [max(at, -1 - at) for b in suffixes.find_runs([batch], buffer) for at in b.column(2).to_pylist()]
+        starts = [s for at in places for s in range(at >> 16, (at >> 16) + (at >> 8 & 255))]
         assert sorted(starts) == list(range(2901))
 
 
+def test_suffixes_with_company():
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    for _ in range(200):
+        n, i, batches = rng.randint(1, 30), 0, []
+        h = sorted(rng.randint(0, 8) for _ in range(n))
+        rows = [(h[k], k, rng.choice([k, k, k, -1 - k])) for k in range(n)]
+        while i < n:
+            j = i + rng.randint(1, 5)
+            batches.append(pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[i:j]], pa.int64()) for k in range(3)], names=["h", "doc", "at"]))
+            i = j
+        got = [tuple(r.values()) for b in suffixes.with_company(batches) for r in b.to_pylist()]
+        assert got == [(a, b, max(c, -1 - c)) for a, b, c in rows if h.count(a) > 1 or c < 0]
+
+
 def test_suffixes_hash_collisions_are_verified(monkeypatch):
     """Where hashes call everything equal, nothing that differs is removed."""
     import pyarrow as pa
