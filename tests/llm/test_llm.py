@@ -112,7 +112,6 @@ def test_bpe(docs, none):
 def test_packing(docs, none):
     path = P.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     rows = packing.pack(docs, path).collect()
     by, seqs = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -133,6 +132,27 @@ def test_packing(docs, none):
     assert packing.pack(none, path).count() == 0
 
 
+def test_packing_words_as_the_tokenizer():
+    path = P.path("word_bpe_49k.json")
+    t, w = Tokenizer.from_file(path), packing.Words(path)
+    pieces = [*VOCAB, "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|", "'s", "\x00\x7f", "\u200b", "İ", "ǅ", "e\u0301", "!?", "\n", "  ", "ſ", "½", "x'll", "\xad"]
+    texts = ["".join(RNG.choice(pieces) + RNG.choice(["", " "]) for _ in range(RNG.randint(0, 30))) for _ in range(3000)]
+    for a, text in zip(w.encode_batch(texts), texts):
+        assert a.tolist() == t.encode(text, add_special_tokens=False).ids + [packing.END], text
+
+
+def test_packing_hot_key_and_int_ids(spark):
+    """A third of the rows with one text, one long text, null and repeated ids."""
+    rows = [(i, "same words here" if i % 3 == 0 else TEXTS[i % 20]) for i in range(600)] + [(7, "same words here"), (None, "x"), (700, "long " * 30000)]
+    d = spark.createDataFrame([(*r, 1) for r in rows], "doc_id int, text string, part int")
+    out = packing.pack(d, P.path("word_bpe_49k.json"), tokens_per_task=500)
+    assert dict(out.dtypes)["doc_id"] == "int"
+    got = out.collect()
+    assert sum(r.length for r in got) == sum(len(x) for x in packing.words(P.path("word_bpe_49k.json")).encode_batch([t or "" for _, t in rows]))
+    assert sum(r.start == 0 for r in got) == len(rows) and len({r.sequence_id >> 36 for r in got}) > 10
+    assert packing.cell_parts([(0, 3), (1, 3), (2, 25), (3, 10), (4, 1)], 10) == [(0, 0, 1), (1, 0, 1), (2, 1, 3), (3, 4, 1), (4, 5, 1)]
+
+
 def test_hilbert_neighbours():
     pts = np.stack(np.meshgrid(*[np.arange(8)] * 3), -1).reshape(-1, 3)
     order = pts[np.argsort(packing.hilbert(pts, 3))]
