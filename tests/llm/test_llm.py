@@ -320,6 +320,67 @@ def test_html_nested_and_mixed_templates(spark):
     assert words("story", 150) in got[20]
 
 
+def test_html_own_header_buttons_and_headline(spark):
+    body = "<p>" + " ".join(f"w{i}" for i in range(60)) + "</p>"
+    pages = {
+        1: f"<body><header class=site-header>Site</header><article><header class='entry-header x'><h1>Head</h1></header><p>press <button>Go</button> now, <math><mi>x</mi></math>.{body}</article></body>",
+        2: f"<body><div class=page-header>Site</div><article><div class='entry-header'>Title</div>{body}<footer>by me</footer></article></body>",
+        3: f"<body><div id=nav>menu</div><h1>Alone</h1><div class=sub>no</div><article>{body}</article></body>",
+        4: f"<body><main><p class=ad>buy<div class=text>{body}</div></main><form>Name<input></form></body>",
+        5: f"<body><b><div class=text>{body}</b> after</div></body>",
+    }
+    words = " ".join(f"w{i}" for i in range(60))
+    want = {1: f"Head press Go now, x. {words}", 2: f"Title {words}", 3: f"Alone {words}", 4: words, 5: f"{words} after"}
+    rows = [(i, f"http://h{i}/", h) for i, h in pages.items()] * 2
+    got = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 10 and {r.page_id: r.text for r in got} == want
+
+
+def test_html_hostile_pages_take_linear_time():
+    import time
+
+    n = 250_000
+    for page in ("<x" * n, "<x " * n, "<x" * n + ">", "<a title='" * n, "<a '\">" * n, "<x \">'" * n, "<div>" * n, "<div></p>" * n, "<b>" * n + "<p></p>" * n, "<p><div>" + "<b>" * n + "<div></div>" * n, "<div class='" + "nav_" * n + "!'>", "<!--" * n, "</" * n, "<script>" * n, "<![CDATA[" * n, "&amp" * n, "<a></b>" * n, "<" * 4 * n):
+        began = time.process_time()
+        html.extract(page, "body/div")
+        assert time.process_time() - began < 6, page[:20]
+    began = time.process_time()
+    assert html.extract("<x" * 500_000, None) == "<x" * 500_000
+    assert time.process_time() - began < 1
+
+
+def test_html_against_a_parser(spark):
+    """The given pages' articles, by the standard parser."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.blocks = 0, [[]]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside += tag == "article"
+            if tag not in html.INLINE:
+                self.blocks.append([])
+
+        def handle_endtag(self, tag):
+            self.inside -= tag == "article"
+            if tag not in html.INLINE:
+                self.blocks.append([])
+
+        def handle_data(self, data):
+            if self.inside:
+                self.blocks[-1].append(data)
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in html.main_text(pages).collect()}
+    for r in pages.collect():
+        a = Article()
+        a.feed(r.html)
+        a.close()
+        assert got[r.page_id] == " ".join(filter(None, (" ".join("".join(b).split()) for b in a.blocks))), r.page_id
+
+
 def test_licenses(docs):
     assert [r.licences for r in licenses.scan(docs).collect()] == [[]] * len(ROWS)
     known = {licenses.normalise(s): k for k, s in licenses.SENTENCES.items()}
