@@ -1,9 +1,16 @@
 """Operator 2, SimHash near-duplicates by a byte-position inverted index with count filtering.
 
-Two 64-bit fingerprints with at most 2 differing bits share at least 6 of their 8 positional bytes. A posting is keyed by six
-positional bytes, so the pairs that meet in a posting are those whose tally reaches that guaranteed minimum; each is then
-verified on its bits. A posting has at most 65,536 different fingerprints, whatever the input. Equal fingerprints are folded
-first. Empty and null texts have fingerprint 0.
+Two 64-bit fingerprints with at most 2 differing bits share at least 6 of their 8 positional bytes. Distinct fingerprints are
+dealt out by the bytes of two of four byte pairs, six keys each: of two fingerprints with 6 common bytes at least two pairs are
+whole, so they meet. Where some meet, an inverted index leads from (position, byte) to the fingerprints that have it; its lists
+add up the shared positional bytes of each pair, pairs that reach the guaranteed minimum of 6 are retained and verified on their
+bits. A key with over CROWD fingerprints is dealt out again, by two more bytes: then six bytes are common, the tally is reached,
+a key has at most 65,536 fingerprints whatever the input, and the few that a bit or two away are looked up to be verified.
+
+Equal fingerprints are folded first, so copies cost one fingerprint. Null, empty and blank texts have fingerprint 0 and are linked
+like others. Rows with a null doc_id get a fingerprint and the smallest doc_id of their class, null if it has none; repeated rows
+get the same result each. Texts of any length are hashed whole, a block of shingles at a time. Columns but doc_id and text are not
+read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,10 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.operators.components import connected_components
-from kindred.plans.store import materialize
+from kindred.plans.store import join_small, materialize
 
-BITS = 2
-MASKS = [sum(0xFF << (8 * p) for p in c) for c in combinations(range(8), 6)]
+BITS, SHARED, CROWD = 2, 6, 1024
+PAIRS = [0xFFFF << (16 * p) for p in range(4)]
+DEALT = [a | b for a, b in combinations(PAIRS, 2)]
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -60,28 +68,43 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
 
 
-def posting_links(members: np.ndarray, direct: int = 256) -> list[tuple[int, int]]:
-    """Spanning links of the fingerprints (uint64, distinct) in one posting that differ in at most BITS bits."""
+def tallies(members: np.ndarray) -> np.ndarray:
+    """Shared positional bytes of each pair, added up list by list of the inverted index from (position, byte) to members."""
     n = len(members)
-    label = np.arange(n)
-    if n <= direct:
-        raw = members.byteswap().view(np.uint8).reshape(n, 8)
-        tally = (raw[:, None, :] == raw[None, :, :]).sum(axis=2)
-        diff = np.bitwise_count(members[:, None] ^ members[None, :])
-        a, b = np.nonzero(np.triu((tally >= 6) & (diff <= BITS), 1))
-    else:  # the free bits have at most 65,536 values: look each flip up
-        flips = [np.uint64(0)]
-        free = np.uint64(np.bitwise_or.reduce(members ^ members[0]))
-        bits = [np.uint64(1 << i) for i in range(64) if int(free) >> i & 1]
-        flips = bits + [x | y for x, y in combinations(bits, 2)]
-        members = np.sort(members)
-        aa, bb = [], []
-        for f in flips:
-            at = np.searchsorted(members, members ^ f)
-            at[at == n] = 0
-            hit = np.nonzero(members[at] == members ^ f)[0]
-            aa.append(hit), bb.append(at[hit])
-        a, b = np.concatenate(aa), np.concatenate(bb)
+    raw = members.view(np.uint8).reshape(n, 8)
+    out = np.zeros((n, n), np.uint8)
+    for p in range(8):
+        order = np.argsort(raw[:, p], kind="stable")
+        for posting in np.split(order, np.nonzero(np.diff(raw[order, p]))[0] + 1):
+            if len(posting) > 1:
+                out[np.ix_(posting, posting)] += 1
+    return out
+
+
+def counted(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs that the tally retains and the bits verify."""
+    a, b = np.nonzero(np.triu(tallies(members) >= SHARED, 1))
+    near = np.bitwise_count(members[a] ^ members[b]) <= BITS
+    return a[near], b[near]
+
+
+def looked_up(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same of sorted members that have six bytes in common: at most two bits of the other two differ, so each flip is looked up."""
+    n = len(members)
+    free = int(np.bitwise_or.reduce(members ^ members[0]))
+    bits = [np.uint64(1 << i) for i in range(64) if free >> i & 1]
+    aa, bb = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for flip in bits + [x | y for x, y in combinations(bits, 2)]:
+        at = np.searchsorted(members, members ^ flip)
+        at[at == n] = 0
+        hit = np.nonzero((members[at] == members ^ flip) & (members < members ^ flip))[0]
+        aa.append(hit), bb.append(at[hit])
+    return np.concatenate(aa), np.concatenate(bb)
+
+
+def spanning(members: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """As few links as join the same members."""
+    label = np.arange(len(members))
     while len(a):  # the least label spreads over the links
         low = np.minimum(label[a], label[b])
         new = label.copy()
@@ -91,21 +114,45 @@ def posting_links(members: np.ndarray, direct: int = 256) -> list[tuple[int, int
             break
         label = new
     signed = members.view(np.int64)
-    return [(int(signed[i]), int(signed[label[i]])) for i in np.nonzero(label != np.arange(n))[0]]
+    return [(int(signed[i]), int(signed[label[i]])) for i in np.nonzero(label != np.arange(len(members)))[0]]
 
 
-def fingerprint_links(fps: DataFrame) -> DataFrame:
-    """Distinct (fp) -> links (u, v) between fingerprints, enough to span each class."""
-    signed = [m - (1 << 64) if m >> 63 else m for m in MASKS]
-    keys = F.array(*[F.struct(F.lit(i).cast("byte").alias("i"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(signed)])
-    postings = fps.select("fp", F.explode(keys).alias("key")).groupBy("key").agg(F.collect_list("fp").alias("members")).filter("size(members) > 1").select("members")
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
+
+def _keys(fp, masks: list[tuple[int, int]]):
+    """An array of struct(i, k): the fingerprint's bits under each mask, with the mask's number."""
+    return F.array(*[F.struct(F.lit(i).cast("short").alias("i"), fp.bitwiseAND(F.lit(_signed(m))).alias("k")) for i, m in masks])
+
+
+def _links(postings: DataFrame, find) -> DataFrame:
     def run(batches):
         for b in batches:
-            links = [x for m in b.column(0) for x in posting_links(np.array(m.as_py(), np.int64).view(np.uint64))]
+            links = []
+            for m in b.column(0):
+                members = np.sort(np.array(m.as_py(), np.int64).view(np.uint64))
+                links += spanning(members, *find(members))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
-    return postings.mapInArrow(run, "u long, v long")
+    return postings.groupBy("key").agg(F.collect_list("fp").alias("members")).filter("size(members) > 1").select("members").mapInArrow(run, "u long, v long")
+
+
+def fingerprint_links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """Distinct (fp) -> links (u, v) between fingerprints, enough to span each class."""
+    dealt = fps.select("fp", F.explode(_keys(F.col("fp"), list(enumerate(DEALT)))).alias("key"))
+    met = materialize(dealt.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+    rows = join_small(dealt, met, "key", "inner")
+    few = _links(rows.filter(F.col("n") <= crowd).select("fp", "key"), counted)
+    if met.filter(F.col("n") > crowd).isEmpty():
+        return few
+    again = None  # two more of the bytes that the key leaves free
+    for i, m in enumerate(DEALT):
+        free = [p for p in range(8) if not m >> (8 * p) & 0xFF]
+        masks = [(16 * i + j, m | 0xFF << 8 * p | 0xFF << 8 * q) for j, (p, q) in enumerate(combinations(free, 2))]
+        keys = _keys(F.col("fp"), masks)
+        again = F.when(F.col("key.i") == i, keys) if again is None else again.when(F.col("key.i") == i, keys)
+    return few.union(_links(rows.filter(F.col("n") > crowd).select("fp", F.explode(again).alias("key")), looked_up))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -77,25 +77,48 @@ def test_pipeline_near_duplicates(spark, none):
     assert similar.near_copies(none).count() == 0
 
 
-def test_posting_links_large_equals_small():
+def classes_of(nodes, links):
+    comp = {int(x): int(x) for x in nodes}
+
+    def find(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    for a, b in links:
+        comp[find(int(a))] = find(int(b))
+    by = defaultdict(set)
+    for x in comp:
+        by[find(x)].add(x)
+    return {frozenset(s) for s in by.values()}
+
+
+def test_fingerprint_links_by_brute_force(spark):
+    """Clusters of fingerprints a few bits apart, some crowded, at any bound of a key."""
     r = np.random.default_rng(0)
-    v = np.unique(r.integers(0, 4000, 400).astype(np.uint64))
-    classes = []
-    for direct in (10_000, 1):
-        parent = {int(x): int(x) for x in v.view(np.int64)}
-
-        def find(x):
-            while parent[x] != x:
-                x = parent[x]
-            return x
-
-        for a, b in simhash.posting_links(v, direct):
-            parent[find(a)] = find(b)
-        by = defaultdict(set)
-        for x in parent:
-            by[find(x)].add(x)
-        classes.append({frozenset(s) for s in by.values()})
-    assert classes[0] == classes[1]
+    v = [int(x) for x in r.integers(0, 1 << 63, 60, np.uint64)]
+    for x in v[:6]:
+        for n in (1, 2, 3, 4, 2, 1, 5):
+            y = x
+            for b in r.choice(64, n, replace=False):
+                y ^= 1 << int(b)
+            v.append(y)
+    v += [int(x) | 7 << 40 for x in r.integers(0, 3000, 200)]
+    v = np.unique(np.array(v, np.uint64))
+    links = [(a, b) for a in v.tolist() for b in v.tolist() if a < b and (a ^ b).bit_count() <= 2]
+    want = classes_of(v.view(np.int64).tolist(), [tuple(int(np.uint64(x).view(np.int64)) for x in l) for l in links])
+    d = spark.createDataFrame([(int(x),) for x in v.view(np.int64)], "fp long")
+    for crowd in (1024, 2):
+        got = [tuple(r) for r in simhash.fingerprint_links(d, crowd).collect()]
+        assert classes_of(v.view(np.int64).tolist(), got) == want
+    raw = v.view(np.uint8).reshape(-1, 8)
+    assert (np.triu(simhash.tallies(v), 1) == np.triu((raw[:, None] == raw[None]).sum(axis=2), 1)).all()
+
+
+def test_simhash_null_and_repeated_ids(spark):
+    d = spark.createDataFrame([(None, "a b c d e"), (4, "a b c d e"), (4, "a b c d e"), (None, "z y x w v u"), (2, None), (9, " ")], "doc_id int, text string")
+    got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(d).collect()), key=str)
+    assert got == sorted([(None, 4), (4, 4), (4, 4), (None, None), (2, 2), (9, 2)], key=str)
 
 
 def test_bpe(docs, none):
