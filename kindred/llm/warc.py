@@ -1,8 +1,10 @@
 """Operator 6, WARC archives written by Spark and read back by boundary-chain verification.
 
 Writing: one record a row, through Spark's text writer, so any store works. Of pages with equal payloads the largest page_id
-holds the payload; the others are revisit records. Null html is an empty payload; null urls are written as empty; a null page_id is written as a record without a number and read
-back as null, never as a revisit or the target of one.
+holds the payload; the others are revisit records. Repeated rows are records each; those of the largest page_id are all responses.
+Pages of one page_id and different payloads stay apart. Null html is an empty payload; null urls are written as empty; a null
+page_id is written as a record without a number and read back as null, never as a revisit or the target of one. Payloads of any
+length are one record. Columns but page_id, url and html are not written. An empty table gives files without records.
 Reading: tasks scan splits for the record magic and emit candidates (offset, successor); pointer jumping from each file's start
 retains reachable ones, so a magic inside a payload, even with a whole record around it, is rejected. Payloads cut by such a
 magic are put together again from their pieces, for these records alone.
@@ -17,6 +19,7 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kindred.plans.store import join_small, materialize, shared_dir
@@ -36,14 +39,14 @@ def write_warc(pages: DataFrame, path: str, least: int = 0, records_per_file: in
     pages = pages.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), "[\\x00-\\x20]", "%20").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     keyed = materialize(pages.select("page_id", F.sha1(F.col("html").cast("binary")).alias("d"), F.octet_length("html").alias("n")).filter(F.col("n") >= least))
     last = keyed.groupBy("d", "n").agg(F.max("page_id").alias("to"), F.count("*").alias("c")).filter("c > 1")
-    revisits = materialize(keyed.join(last, ["d", "n"]).filter("page_id < to").select(F.col("page_id").alias("from"), "to").distinct())
-    p = join_small(pages, revisits, pages.page_id == revisits["from"], "left")
+    revisits = materialize(join_small(keyed, materialize(last), ["d", "n"], "inner").filter("page_id < to").select("page_id", "d", "n", "to").distinct())
+    p = join_small(pages.withColumns({"d": F.sha1(F.col("html").cast("binary")), "n": F.octet_length("html")}), revisits, ["page_id", "d", "n"], "left")
     again = F.col("to").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("html").cast("string"), F.lit(END))
     size = F.octet_length(http) + F.when(again, 0).otherwise(F.octet_length("html"))
     head = F.concat(
         F.lit(MAGIC + "WARC-Type: "), F.when(again, "revisit").otherwise("response"), F.lit("\r\nWARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")),
-        F.lit(">\r\nWARC-Date: 2000-01-01T00:00:00Z\r\nWARC-Target-URI: "), F.col("url"), F.lit("\r\nWARC-Payload-Digest: sha1:"), base32(F.sha1(F.col("html").cast("binary"))),
+        F.lit(">\r\nWARC-Date: 2000-01-01T00:00:00Z\r\nWARC-Target-URI: "), F.col("url"), F.lit("\r\nWARC-Payload-Digest: sha1:"), base32(F.col("d")),
         F.when(again, F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:page:"), F.col("to").cast("string"), F.lit(">"))).otherwise(F.lit("")),
         F.lit("\r\nContent-Type: application/http;msgtype=response\r\nContent-Length: "), size.cast("string"), F.lit(END), http)
     p.select(F.concat(head, F.when(again, "").otherwise(F.col("html"))).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
@@ -118,8 +121,11 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     names = ["page_id", "bytes", "digest", "type", "refers_to"]
     if kept.filter("not whole").limit(1).count() == 0:
         return whole.select(*names)
-    spans = kept.filter("not whole").select("file", F.col("off").alias("owner"), (F.col("off") + F.col("size")).alias("stop"))
-    pieces = materialize(cand.select("file", "block", "number", "off").join(spans, "file").filter("off >= owner and off < stop").select("file", "block", "number", "off", "owner"))
+    spans = kept.filter("not whole").select("file", "off", F.col("off").alias("owner"), (F.col("off") + F.col("size")).alias("stop"))
+    before = W.partitionBy("file").orderBy("off")  # places only, no payloads; the last mended record before a piece is its owner if it reaches so far
+    told = cand.select("file", "block", "number", "off").join(spans, ["file", "off"], "left")
+    told = told.withColumns({c: F.last(c, True).over(before) for c in ("owner", "stop")})
+    pieces = materialize(told.filter("off < stop").select("file", "block", "number", "off", "owner"))
 
     def numbered(batches):
         last, number = None, 0
