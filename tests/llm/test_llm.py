@@ -303,6 +303,31 @@ def test_topk(spark):
     assert got == want
 
 
+def test_topk_blocks_ties_repeats_and_large_components(spark):
+    r = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in r.integers(-1, 2, 3)]) for i in range(150)] + [(7, [1.0, 1.0, 1.0]), (100, [0.0, 1.0, 0.0]), (200, [3e15, 2.0]), (300, [1e30]), (301, [-1e30, 5.0, 0.0, 2.0]), (400, [])]
+    v = topk.quantised(spark.createDataFrame(rows, "vec_id int, embedding array<double>"))
+    q = {i: [max(-topk.LONG - 1, min(topk.LONG, int(np.floor(x * 1024)))) for x in e] for i, e in rows[:100] + rows[101:]}
+    every = [(i, [max(-topk.LONG - 1, min(topk.LONG, int(np.floor(x * 1024)))) for x in e]) for i, e in rows]
+    ask = {i: q.get(i) for i in (0, 200, 300, 400)}
+    want = set()
+    for a, x in ask.items():
+        got = [(b, max(-topk.LONG - 1, min(topk.LONG, sum(m * n for m, n in zip(x, y))))) for b, y in every if b != a]
+        want |= {(a, k + 1, *z) for k, z in enumerate(sorted(got, key=lambda z: (-z[1], z[0]))[:10])}
+    for block, asked in ((16, 1), (1000, 3)):
+        assert {tuple(x) for x in topk.top_k(v.filter("vec_id in (0, 200, 300, 400)"), v, block=block, asked=asked).collect()} == want
+    assert topk.top_k(v.limit(0), v.limit(0)).count() == 0
+
+
+def test_warc_repeated_ids(spark, tmp_path):
+    rows = [(1, "u", "aaa"), (1, "u", "bbb"), (2, "u", "aaa"), (2, "u", "aaa"), (5, "u", "WARC/1.1\r\nx" * 50), (6, "u", "WARC/1.1\r\n" * 3)]
+    warc.write_warc(spark.createDataFrame([(*r, 1, 2) for r in rows], "page_id int, url string, html string, d int, to int").coalesce(1), f"file://{tmp_path}/r")
+    got = sorted(((r.page_id, r.bytes, r.type, r.refers_to) for r in warc.read_warc(spark, f"file://{tmp_path}/r").collect()), key=str)
+    assert got == sorted([(1, 3, "revisit", 2), (1, 3, "response", None), (2, 3, "response", None), (2, 3, "response", None), (5, 550, "response", None), (6, 30, "response", None)], key=str)
+    warc.write_warc(spark.createDataFrame([], "page_id int, url string, html string"), f"file://{tmp_path}/e")
+    assert warc.read_warc(spark, f"file://{tmp_path}/e").count() == 0
+
+
 def test_warc(spark, tmp_path):
     inner = "x\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:77>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.1\r\n tail é"
     rows = [(1, "http://a/ b", inner), (2, "u", "same"), (3, None, "same"), (4, "u", None), (5, "u", ""), (6, "u", "WARC/1.1\r\n"), (7, "u", "z" * 100000)]
