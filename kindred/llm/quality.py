@@ -1,6 +1,12 @@
 """Operator 5, host-level quality rules, in DataFrame functions only.
 
-Null text counts as no words. Null hosts form one host. Repeated rows each count. Extra columns pass through untouched.
+A document fails by its own rules (too few words, too much repetition). Failures are added up by host; a host's rate is shrunk to
+a beta prior that is fitted to all hosts' rates, so that small hosts are judged by what hosts are like; documents of a host whose
+shrunk rate is above the bound are rejected with it. The same goes for each rule alone in ``host_rates``.
+
+Null text counts as no words; a null host is a host; repeated rows each count. Texts of any length are read whole (the work grows
+with the words' sort). Ties have no say: rates are compared with a bound, which is itself allowed. An empty table gives an empty
+result. Columns with clashing names are kept apart by ``judged``, which carries the whole row in one struct.
 """
 
 from __future__ import annotations
@@ -48,6 +54,22 @@ def host_verdicts(stats: DataFrame, host: str = "source", max_rate: float = 0.5)
     return hosts.join(F.broadcast(prior)).select("host", "n", "n_failed", rate.alias("rate"), (rate <= max_rate).alias("host_ok"))  # prior is one row
 
 
+def host_rates(stats: DataFrame, host: str = "source") -> DataFrame:
+    """(host, rule, n, n_failed, rate, host_ok) for each rule alone."""
+    rules = {"too_few_words": F.col("n_words") < 20, "too_repetitive": 100 * F.col("n_repeat_words") > 30 * F.col("n_words")}
+    out = None
+    for name, failed in rules.items():
+        part = host_verdicts(stats.select(F.col(host), failed.alias("base_failed")), host).select("host", F.lit(name).alias("rule"), "n", "n_failed", "rate", "host_ok")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def judged(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
+    """(row, stats, kept): each row of ``docs`` as a struct, whatever its columns are called, its figures and the verdict."""
+    stats = document_stats(docs.select(F.struct("*").alias("row"), F.col(text).alias("text"), F.col(host).alias("source"))).select("row", "source", *COLUMNS)
+    return apply_hosts(materialize(stats))
+
+
 def apply_hosts(stats: DataFrame, host: str = "source", max_rate: float = 0.5) -> DataFrame:
     """Adds ``kept``. ``stats`` should be materialized: it is read twice."""
     bad = materialize(host_verdicts(stats, host, max_rate).filter("not host_ok").select(F.col("host").alias("_host"), F.lit(True).alias("_bad")))
