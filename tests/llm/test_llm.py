@@ -11,6 +11,7 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from kindred.llm import bpe, html, licenses, packing, quality, similar, simhash, suffixes, topk, toxicity, warc
@@ -429,16 +430,109 @@ def test_html_against_a_parser(spark):
         assert got[r.page_id] == " ".join(filter(None, (" ".join("".join(b).split()) for b in a.blocks))), r.page_id
 
 
-def test_licenses(docs):
+def test_licenses(docs, none):
     assert [r.licences for r in licenses.scan(docs).collect()] == [[]] * len(ROWS)
-    known = {licenses.normalise(s): k for k, s in licenses.SENTENCES.items()}
-    text = "Foo bar.\nPermission is hereby granted" + licenses.SENTENCES["mit-grant"][29:] + "\n" + licenses.SENTENCES["mit-notice"] + "\nLicensed under the Apache License,\nVersion 2.0."
-    assert licenses.licences(licenses.identifiers(text, known)) == ["MIT", "Apache-2.0"]
-
-
-def test_toxicity(spark):
-    rows = [(i, " ".join(RNG.choice(["sun", "sea", "hill", "road"]) for _ in range(30)) + (" you idiot" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(400)]
-    d = spark.createDataFrame([r[:2] for r in rows] + [(None, None), (999, "")], "doc_id long, text string")
-    model = toxicity.fit(d, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
-    got = {r.doc_id: r.is_toxic for r in toxicity.score(d, model).collect()}
-    assert all(got[i] == bool(y) for i, _, y in rows) and not got[None] and not got[999]
+    assert licenses.scan(none).count() == 0
+    of = lambda text: licenses.licences(licenses.identifiers(text))
+    S = licenses.SENTENCES
+    assert of("Foo bar.\nPermission is hereby granted" + S["mit-grant"][29:] + "\n" + S["mit-notice"] + "\nLicensed under the Apache License,\nVersion 2.0.") == ["MIT", "Apache-2.0"]
+    bsd = "\n".join(["Copyright (c) X", S["bsd-grant"], "1. " + S["bsd-source"], "2. " + S["bsd-binary"].replace(" ", "\n")])
+    assert of(bsd) == ["BSD-2-Clause"] and of(bsd + "\n3. " + S["bsd-no-endorse"]) == ["BSD-3-Clause"]
+    assert of(bsd + "\na\nb\nc\nd\n" + S["bsd-no-endorse"]) == ["BSD-2-Clause"]
+    assert of("SPDX-License-Identifier: MPL-2.0 \nThis work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License. x") == ["MPL-2.0", "CC-BY-NC-SA-4.0"]
+    assert of("MIT License\n" * 3 + "Released under the MIT License.") == ["MIT"] and of("all rights reserved. " * 20000) == []
+
+
+def test_licence_tables():
+    known, rules = licenses.tables()
+    assert all(licenses.HINT.search(k) for k in known) and {k for _, r in rules for k in r} <= set(known.values())
+
+
+def test_licences_by_brute_force():
+    """Any text, every joining of pieces and every way through a rule."""
+    from itertools import combinations as some
+
+    known = {"a software": "A", "a software b": "AB", "c": "C", "d e": "D", "b": "B"}
+    rules = [("one", ["A", "C"]), ("two", ["AB", "B", "C"]), ("three", ["C"]), ("four", ["D", "D"])]
+    rng = random.Random(6)
+    for _ in range(400):
+        pieces = [rng.choice(["a", "software", "a software", "b", "c", "d", "e", "x", "d e"]) for _ in range(rng.randint(1, 14))]
+        found = []
+        for i in range(len(pieces)):
+            ends = [j for j in range(i, len(pieces)) if " ".join(pieces[i : j + 1]) in known]
+            if ends:
+                found.append((i, ends[-1], known[" ".join(pieces[i : ends[-1] + 1])]))
+        text = "\n".join(pieces)
+        if licenses.HINT.search(text):
+            assert licenses.identifiers(text, known) == found
+        taken, out = set(), []
+        for order, (name, rule) in sorted(enumerate(rules), key=lambda r: (-len(r[1][1]), r[0])):
+            for at in range(len(found)):
+                ways = [w for w in some(range(at, len(found)), len(rule)) if w[0] == at and [found[k][2] for k in w] == rule and all(0 <= found[n][0] - found[k][1] - 1 <= licenses.GAP for k, n in zip(w, w[1:]))]
+                if at not in taken and ways and not taken & set(min(ways, key=lambda w: w[::-1])):
+                    taken |= set(min(ways, key=lambda w: w[::-1]))
+                    out.append((found[at][0], -len(rule), order, name))
+        assert licenses.licences(found, rules) == list(dict.fromkeys(n for *_, n in sorted(out)))
+
+
+def toxic_rows(seed, n=400):
+    rng = random.Random(seed)
+    plain = [f"{a}{b}" for a in ("sun", "sea", "hill", "road", "tree") for b in ("", "s", "side", "ward")]
+    bad = [["blorg", "snurk"], ["vexil", "graph"]]
+    rows = []
+    for i in range(n):
+        words, y = [rng.choice(plain) for _ in range(30)], int(i % 4 == 0)
+        if y:
+            words[rng.randrange(30)] = rng.choice(bad[i // 4 % 2])
+        rows.append((seed * 10000 + i, " ".join(words), y))
+    return rows
+
+
+def test_toxicity_held_out(spark):
+    train, held = toxic_rows(1), toxic_rows(2)
+    d = spark.createDataFrame([r[:2] for r in train], "doc_id int, text string")
+    model = toxicity.fit(d, spark.createDataFrame([(r[0], r[2]) for r in train] + [(None, 1), (train[0][0], None), (77, 1)], "doc_id int, toxic int"))
+    assert len(model["models"]) == len(toxicity.CHAIN) and len(model["models"][2]) == len(model["models"][0]) + 2  # each link takes what the earlier ones give
+    new = spark.createDataFrame([(*r[:2], 5) for r in held] * 2 + [(None, None, 5), (None, "a blorg", 5), (9, "", 5), (10, "sun " * 100000 + "vexil", 5)], "doc_id int, text string, _CHAIN int")
+    out, name = toxicity.score(new, model)
+    got = out.select("doc_id", "text", "_CHAIN", F.col(f"{name}.is_toxic").alias("bad")).collect()
+    truth = {r[0]: bool(r[2]) for r in held}
+    assert sum(truth[r.doc_id] == r.bad for r in got if r.doc_id in truth) >= 0.98 * 2 * len(held)
+    assert {(r.doc_id, r.text[:3] if r.text else r.text): r.bad for r in got if r.doc_id not in truth} == {(None, None): False, (None, "a b"): True, (9, ""): False, (10, "sun"): True}
+    assert toxicity.score(new.limit(0), model)[0].count() == 0
+
+
+def test_toxicity_without_both_classes(spark):
+    d = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")
+    for labels in ([], [(1, 1), (2, 1)], [(1, 0)], [(5, 1), (6, 0)], [(1, None)]):
+        model = toxicity.fit(d, spark.createDataFrame(labels, "doc_id long, toxic int"))
+        out, name = toxicity.score(d, model)
+        assert [(r.p_toxic, r.is_toxic) for r in out.select(f"{name}.*").collect()] == [(0.0, False)] * 2
+
+
+def test_quality_hosts(spark):
+    """Shrinkage, the verdict and the figures by plain arithmetic; a bad host, a small bad host, a null host."""
+    good, bad = " ".join(f"w{i}" for i in range(25)) + " #$\na b\na b", "too few\n \ntoo few"
+    rows = [(i, bad if i % 5 else good, "spam") for i in range(100)] + [(200 + i, bad if i == 0 else good, f"h{i % 5}") for i in range(100)] + [(400, bad, "tiny"), (401, bad, None), (402, good, None), (None, good, "h1"), (None, good, "h1")]
+    docs = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id int, text string, source string, kept int, _w int, base_failed int")
+    by = defaultdict(list)
+    for _, t, h in rows:
+        by[h].append(t == bad)
+    rates = [sum(x) / len(x) for x in by.values()]
+    m = sum(rates) / len(rates)
+    v = sum((r - m) ** 2 for r in rates) / len(rates)
+    k = m * (1 - m) / v - 1 if v > 0 and m * (1 - m) > v else 1.0
+    ok = {h: (sum(x) + m * k) / (len(x) + k) <= 0.5 for h, x in by.items()}
+    assert not ok["spam"] and ok["h1"]
+    got = quality.judged(docs).collect()
+    assert len(got) == len(rows) and got[0].row.asDict().keys() == set(docs.columns)
+    for r in got:
+        assert r.kept == (r.row.text == good and ok[r.row.source])
+        assert (r.n_symbols, r.n_dup_lines) == ((2, 1) if r.row.text == good else (0, 1))
+    rates = {(r.host, r.rule): (r.n, r.n_failed) for r in quality.host_rates(got_stats(spark, docs)).collect()}
+    assert rates["spam", "too_few_words"] == (100, 80) and rates["spam", "too_repetitive"] == (100, 0)
+    assert quality.judged(docs.limit(0)).count() == 0
+
+
+def got_stats(spark, docs):
+    return quality.document_stats(docs.select("doc_id", "text", "source"))
