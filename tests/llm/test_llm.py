@@ -52,9 +52,18 @@ def test_simhash(docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
-def test_pipeline_near_duplicates(spark, none):
-    import corpus_pipeline
+def brute_classes(texts):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in texts]
+    comp = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((comp[a], comp[b]))
+                comp = [x if c == y else c for c in comp]
+    return comp
+
 
+def test_near_copies(spark, none):
     rng = random.Random(8)
     base = [[f"w{rng.randint(0, 9999)}" for _ in range(n)] for n in (300, 300, 120, 40)]
     texts = [None, "", "One two", "one  TWO", "one three"]
@@ -65,16 +74,13 @@ def test_pipeline_near_duplicates(spark, none):
                 new[rng.randrange(len(new))] = f"n{rng.randint(0, 9999)}"
             texts.append(" ".join(new))
     texts += [" ".join(base[0] + base[1][:60]), " ".join(base[0][:200] + base[1][:100])]
-    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in texts]
-    comp = list(range(len(texts)))
-    for a in comp[:]:
-        for b in range(a):
-            if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
-                x, y = sorted((comp[a], comp[b]))
-                comp = [x if c == y else c for c in comp]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r.doc_id: r.component_id for r in similar.near_copies(docs).collect()} == dict(enumerate(comp))
-    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == sorted(set(comp))
+    for k in range(0, 200, 4):  # a chain, each a near copy of its neighbours only
+        texts.append(" ".join(base[1][k:] + [f"c{i}" for i in range(k)]))
+    comp = brute_classes(texts)
+    assert len(set(comp[-50:])) < 5
+    docs = spark.createDataFrame([*enumerate(texts), (None, texts[9])], "doc_id int, text string")
+    for chunk in (2000, 4):
+        assert {r.doc_id: r.component_id for r in similar.near_copies(docs, chunk).collect()} == dict(enumerate(comp))
     assert similar.near_copies(none).count() == 0
 
 
