@@ -1,52 +1,3 @@
-"""The corpus pipeline: quality rules, toxicity, near-duplicates, repeated passages, packing. Part of kindred.llm."""
+"""The corpus pipeline's entry; its body is part of the llm subpackage."""
 
-from __future__ import annotations
-
-import uuid
-
-from pyspark.sql import DataFrame
-
-from kindred.llm import packing, quality, similar, suffixes, toxicity
-from kindred.plans.store import materialize, shared_dir
-
-#: Not expressible in SQL (a trained model, suffix sorting); tests hold it against brute force.
-ORACLE_SQL = None
-
-
-def quality_rules(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    stats = materialize(quality.document_stats(docs).select(*docs.columns, "base_failed"))
-    return quality.apply_hosts(stats).filter("kept").select(*docs.columns)
-
-
-def toxic_documents(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).filter("not is_toxic").select(*docs.columns)
-
-
-def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keep = similar.near_copies(docs).filter("doc_id = component_id").select("doc_id")
-    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
-
-
-def repeated_passages(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return suffixes.cleaned(docs)
-
-
-def packed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    import public_tokenizers as P
-
-    return packing.pack(docs, P.path("word_bpe_49k.json"))
-
-
-STAGES = [("quality_rules", quality_rules), ("toxicity", toxic_documents), ("simhash_near_dedup", near_duplicates), ("suffix_array_dedup", repeated_passages), ("packing", packed)]
-
-
-def run(spark, sf_dir: str) -> DataFrame:
-    path = f"{sf_dir}/documents.parquet"
-    for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, spark.read.parquet(path), sf_dir)
-        if k == len(STAGES) - 1:
-            return out
-        path = f"{shared_dir(spark)}/kindred/pipeline-{uuid.uuid4().hex}"
-        out.write.parquet(path)
-    raise AssertionError
+from kindred.llm.pipeline import ORACLE_SQL, STAGES, run  # noqa: F401
