@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MONTHS = "JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDEC"
-# Words that open an imprecise date.
-WORDS = {"about": ["ABT", "ABOUT", "C\\.", "CA\\.?", "CCA\\.?", "CIRCA"], "before": ["BEF", "BEFORE"], "after": ["AFT", "AFTER"]}
+# Month names (their first three letters are names too), and words that open an imprecise date.
+MONTHS = ["JANUARY", "FEBRUARY", "MARCH", "APRIL", "MAY", "JUNE", "JULY", "AUGUST", "SEPTEMBER", "OCTOBER", "NOVEMBER", "DECEMBER"]
+WORDS = {"about": ["ABT\\.?", "ABOUT", "C\\.", "CA\\.?", "CCA\\.?", "CIRCA"], "before": ["BEF\\.?", "BEFORE"], "after": ["AFT\\.?", "AFTER"], "to": ["TO"]}
 ONE = r"(?:(?:(\d{1,2}) )?([A-Z]{3,9})\.? )?(\d{1,4})"
 
 
@@ -20,15 +20,16 @@ def _part(s: Column, pattern: str, group: int) -> Column:
 
 
 def _month(s: Column) -> Column:
-    at = F.instr(F.lit(MONTHS), F.substring(s, 1, 3))
-    return F.when((F.length(s) >= 3) & (at % 3 == 1), ((at + 2) / 3).cast("int"))
+    place = lambda names: F.array_position(F.array(*map(F.lit, names)), s).cast("int")
+    at = F.greatest(place(MONTHS), place([m[:3] for m in MONTHS]))
+    return F.when(at > 0, at)
 
 
 def parse_date(c: Column) -> Column:
-    """struct(type, y, m, d, y2, m2, d2): exact, about, before, after, between, from_to or invalid; missing parts are null. Case-insensitive; impossible days are invalid."""
+    """struct(type, y, m, d, y2, m2, d2): exact, about, before, after, to, between, from_to or invalid; missing parts are null. Case-insensitive; impossible days are invalid."""
     s = F.upper(squeeze(F.coalesce(c, F.lit(""))))
     lead = "(?:" + "|".join(w for ws in WORDS.values() for w in ws) + ") ?"
-    pair = rf"^(?:BET(?:WEEN)?|FROM) {ONE} ?(?:AND|TO|-) ?{ONE}$"
+    pair = rf"^(?:BET(?:WEEN|\.)?|FROM) {ONE} ?(?:AND|TO|-) ?{ONE}$"
     single = rf"^(?:{lead})?{ONE}$"
     two = s.rlike(pair)
     kind = F.when(two, F.when(s.startswith("FROM"), "from_to").otherwise("between"))
@@ -59,8 +60,19 @@ def latest(p: Column) -> Column:
     return F.when(p["type"] != "invalid", F.date_add(F.make_date(y, F.coalesce(m, F.lit(12)), F.lit(1)), F.coalesce(d, F.lit(31)) - 1))
 
 
+def _years(y: Column, m: Column, d: Column) -> Column:
+    """Fractional years of one date: the share of the year's days with a day, else the middle of the month (its length over the year's, counted from the year's start, as the middle of a year is a half)."""
+    length = F.dayofyear(F.make_date(y, F.lit(12), F.lit(31)))
+    first = F.make_date(y, m, F.lit(1))
+    whole = F.dayofyear(F.make_date(y, m, d)) / length
+    month = (F.dayofyear(first) / length + F.dayofmonth(F.last_day(first)) / length) / 2
+    return y + F.when(m.isNull(), 0.5).when(d.isNull(), month).otherwise(whole)
+
+
 def years(p: Column) -> Column:
-    return F.when(p["type"] != "invalid", F.when(p["m"].isNull(), p["y"] + 0.5).otherwise(p["y"] + (F.dayofyear(F.make_date(p["y"], p["m"], F.coalesce(p["d"], F.lit(15)))) - 1) / 365.0))
+    """Fractional years of a parsed date; of a range, the mean of its ends. Null if invalid. A year and a month end at the month's length, not at its last day of the year: the scale that similarities are defined on."""
+    one = _years(p["y"], p["m"], p["d"])
+    return F.when(p["type"].isin("between", "from_to"), (one + _years(p["y2"], p["m2"], p["d2"])) / 2).when(p["type"] != "invalid", one)
 
 
 def iso8601(p: Column) -> Column:
@@ -77,13 +89,34 @@ def date_similarity_of(a: Column, b: Column, most: float = 3.0) -> Column:
     return date_similarity(years(parse_date(a)), years(parse_date(b)), most)
 
 
+# Words before and after a name.
+PREFIXES = ["DR", "MR", "MRS", "MS", "PROF", "REV"]
+SUFFIXES = ["JR", "JR.", "SR", "SR.", "II", "III", "IV", "V"]
+
+
 def parse_name(value: Column) -> Column:
-    """struct(given, surname) of ``Given /Surname/`` or, without slashes, the last word as surname."""
+    """struct(prefix, given, surname, suffix) of ``Given /Surname/`` or, without two slashes, the last word as surname. Prefix and suffix are looked for in the given part; a prefix may go on after its word (``MRS.``)."""
     v = squeeze(F.coalesce(value, F.lit("")))
-    slashed = v.contains("/")
+    slashed = v.rlike("/[^/]+/")
+    words = F.filter(F.split(F.regexp_extract(v, "^([^/]*)/", 1), " "), lambda w: w != "")
+    prefix = F.when(F.upper(F.get(words, F.lit(0))).rlike("^(?:" + "|".join(PREFIXES) + ")"), F.get(words, F.lit(0)))
+    rest = F.when(prefix.isNotNull(), F.slice(words, 2, 1000)).otherwise(words)
+    suffix = F.when((F.size(rest) > 0) & F.upper(F.try_element_at(rest, F.lit(-1))).isin(SUFFIXES), F.try_element_at(rest, F.lit(-1)))
+    rest = F.when(suffix.isNotNull(), F.slice(rest, F.lit(1), F.size(rest) - 1)).otherwise(rest)
     surname = F.when(slashed, F.trim(F.regexp_extract(v, "/([^/]*)", 1))).when(v.contains(" "), F.regexp_extract(v, r"(\S+)$", 1)).otherwise("")
-    given = F.when(slashed, F.trim(F.regexp_extract(v, "^([^/]*)/", 1))).when(v.contains(" "), F.trim(F.regexp_replace(v, r"\S+$", ""))).otherwise(v)
-    return F.struct(given.alias("given"), surname.alias("surname"))
+    given = F.when(slashed, F.array_join(rest, " ")).when(v.contains(" "), F.trim(F.regexp_replace(v, r"\S+$", ""))).otherwise(v)
+    none = F.lit(None).cast("string")
+    return F.struct(F.when(slashed, prefix).otherwise(none).alias("prefix"), given.alias("given"), surname.alias("surname"), F.when(slashed, suffix).otherwise(none).alias("suffix"))
+
+
+def name_type(c: Column) -> Column:
+    """birth, married, aka, religious or unknown; any other word is other."""
+    t = F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    return F.when(t == "", "unknown").when(t.isin("birth", "married", "aka", "religious", "unknown"), t).otherwise("other")
+
+
+def full_surname(prefix: Column, surname: Column) -> Column:
+    return full_name(prefix, surname)
 
 
 def full_name(*parts: Column) -> Column:
@@ -130,3 +163,50 @@ def extract_year(c: Column) -> Column:
 
 def valid_xref(c: Column) -> Column:
     return c.rlike("^@[A-Za-z0-9]{1,20}@$")
+
+
+# Tags of events and attributes.
+EVENT_TYPES = ["BIRT", "DEAT", "BURI", "CREM", "CHR", "BAPM", "BARM", "BASM", "BLES", "CHRA", "CONF", "FCOM", "ORDN", "NATU", "EMIG", "IMMI", "CENS", "PROB", "WILL", "GRAD", "RETI", "RESI", "OCCU", "EDUC", "EVEN",
+               "MARR", "DIV", "ANUL", "MARB", "MARC", "MARL", "MARS", "ENGA", "CAST", "DSCR", "NATI", "PROP", "RELI", "TITL"]
+
+
+def valid_event(tag: Column) -> Column:
+    return tag.isin(EVENT_TYPES)
+
+
+def effective_type(tag: Column, custom: Column) -> Column:
+    """The custom type of a generic event, else the tag."""
+    return F.when((tag == "EVEN") & (F.coalesce(custom, F.lit("")) != ""), custom).otherwise(tag)
+
+
+def place_parts(c: Column, keep_empty: bool = False) -> Column:
+    parts = F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x))
+    return parts if keep_empty else F.filter(parts, lambda x: x != "")
+
+
+def place_format(c: Column, separator: str = ", ") -> Column:
+    """Parts joined anew; the text as it is where it has none."""
+    return F.when(F.size(place_parts(c)) > 0, F.array_join(place_parts(c), separator)).otherwise(c)
+
+
+def place_component(c: Column, level: int) -> Column:
+    """Level 0 is the most specific part; empty beyond the last."""
+    return F.coalesce(F.get(place_parts(c), F.lit(level)) if level >= 0 else F.lit(None).cast("string"), F.lit(""))
+
+
+def normalize_text(c: Column) -> Column:
+    return F.lower(squeeze(F.coalesce(c, F.lit(""))))
+
+
+def is_abbreviation(a: Column, b: Column) -> Column:
+    """One is two letters that the other, longer one begins with."""
+    x, y = normalize_text(a), normalize_text(b)
+    n, k = F.octet_length(x), F.octet_length(y)
+    return ((n == 2) & (k > 2) & y.startswith(x)) | ((k == 2) & (n > 2) & x.startswith(y))
+
+
+def phonetic_similarity(a: Column, b: Column) -> Column:
+    """0.9 for equal codes, 0.5 and 0.1 for each equal digit where only the first letters agree, else 0."""
+    x, y = soundex(a), soundex(b)
+    digits = sum((F.when(F.substring(x, i, 1) == F.substring(y, i, 1), 1).otherwise(0) for i in (2, 3, 4)), F.lit(0))
+    return F.when((x == "") | (y == ""), 0.0).when(x == y, 0.9).when(F.substring(x, 1, 1) == F.substring(y, 1, 1), F.round(0.5 + digits * 0.1, 6)).otherwise(0.0)

@@ -2,22 +2,68 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.operators.components import connected_components
-from kindred.plans.store import materialize
+from kindred.plans.store import join_small, materialize
+
+
+def searched(start: DataFrame, step: DataFrame, limit: int, stride: int) -> DataFrame:
+    """start(root, xref) -> (root, xref, depth): least depth of what the steps reach, ``limit`` deep (0: all). A job goes ``stride`` levels on; what was seen is left out after each job, so only pairs at a job's last level are gone on from."""
+    seen = frontier = materialize(start.select("root", "xref", F.lit(0).cast("long").alias("depth")))
+    depth = 0
+    while not limit or depth < limit:
+        now, found = frontier.select("root", "xref"), None
+        last = min(depth + stride, limit) if limit else depth + stride
+        for d in range(depth + 1, last + 1):
+            now = join_small(now, step, now.xref == step["at"], "inner", 2_000_000).select("root", F.col("to").alias("xref"))
+            part = now.withColumn("depth", F.lit(d).cast("long"))
+            found = part if found is None else found.unionByName(part)
+        new = materialize(found.groupBy("root", "xref").agg(F.min("depth").alias("depth")).join(seen, ["root", "xref"], "left_anti"))
+        frontier = materialize(new.filter(F.col("depth") == last)) if last - depth > 1 else new
+        if new.isEmpty():
+            break
+        seen, depth = seen.unionByName(new), last
+        if frontier.isEmpty():
+            break
+    return seen
+
+
+def doubled(people: DataFrame, step: DataFrame, limit: int) -> DataFrame:
+    """(xref) -> (root, xref, depth) for everyone: what is 2n deep or less is what is n deep or less, and that of those just n deep; so a round doubles the depth. A shortest way of over n steps passes someone just n deep, so no other start is needed."""
+    seen = materialize(people.select(F.col("xref").alias("root"), "xref", F.lit(0).cast("long").alias("depth")).unionByName(step.filter("at != to").join(people, F.col("at") == people.xref, "left_semi").select(F.col("at").alias("root"), F.col("to").alias("xref"), F.lit(1).cast("long").alias("depth"))))
+    reach = 1
+    while not limit or reach < limit:
+        edge = seen.filter(F.col("depth") == reach).select("root", F.col("xref").alias("via"))
+        if edge.isEmpty():
+            break
+        on = seen.filter("depth > 0").select(F.col("root").alias("via"), "xref", (F.col("depth") + reach).alias("depth"))
+        far = edge.join(on, "via").select("root", "xref", "depth")
+        seen = materialize(seen.unionByName(far).groupBy("root", "xref").agg(F.min("depth").alias("depth")))
+        reach *= 2
+    return seen.filter(F.col("depth") <= limit) if limit else seen
 
 
 @dataclass
 class Pedigree:
-    """individuals(xref, name, given, surname, sex, birth_date, death_date, birth_place); families(family, husband, wife, marriage_date); children(family, child, ordinal)."""
+    """individuals(xref, name, given, surname, sex, birth_date, death_date, birth_place, birth_text); families(family, husband, wife, marriage_date, marriage_place, divorce_date, divorce_place); children(family, child, ordinal); events(event_id, owner, owner_type, type, custom_type, date, place); notes(owner, note, text): references to shared notes or inline text; shared(note, text)."""
 
     individuals: DataFrame
     families: DataFrame
     children: DataFrame
+    events: DataFrame | None = None
+    notes: DataFrame | None = None
+    shared: DataFrame | None = None
+    _kept: dict = field(default_factory=dict, repr=False)
+
+    def kept(self, name: str, build) -> DataFrame:
+        """A table that several operators read, written once for this pedigree."""
+        if name not in self._kept:
+            self._kept[name] = materialize(build())
+        return self._kept[name]
 
     @property
     def parent_edge(self) -> DataFrame:
@@ -66,23 +112,18 @@ class Pedigree:
             "grandparents": lambda: then(up, up), "grandchildren": lambda: then(down, down), "uncles": lambda: then(up, side), "nephews": lambda: then(side, down)}
         return found[kind]()
 
-    def closure(self, roots: DataFrame, up: bool = True, max_generations: int = 0, include_self: bool = False) -> DataFrame:
-        """(root, xref, depth): least depth of every ancestor (or descendant) of the roots, by frontier joins that leave visited pairs out, so cycles end and shared ancestors stay single."""
-        pe = self.parent_edge
-        step = materialize((pe.select(F.col("child").alias("at"), F.col("parent").alias("to")) if up else pe.select(F.col("parent").alias("at"), F.col("child").alias("to"))).distinct())
-        frontier = materialize(roots.select(F.col("xref").alias("root"), F.col("xref")).distinct())
-        levels, seen, depth = [frontier.withColumn("depth", F.lit(0).cast("long"))], frontier, 0
-        while not max_generations or depth < max_generations:
-            depth += 1
-            nxt = frontier.join(step, frontier.xref == step.at).select("root", F.col("to").alias("xref")).distinct().join(seen, ["root", "xref"], "left_anti")
-            nxt = materialize(nxt)
-            if nxt.isEmpty():
-                break
-            levels.append(nxt.withColumn("depth", F.lit(depth).cast("long")))
-            seen, frontier = seen.unionByName(nxt), nxt
-        out = levels[0]
-        for x in levels[1:]:
-            out = out.unionByName(x)
+    def steps(self, kind: str) -> DataFrame:
+        """Distinct (at, to): up to parents, down to children, or over any family link."""
+        pair = {"up": ("child", "parent"), "down": ("parent", "child"), "link": ("src", "dst")}[kind]
+        return self.kept(kind, lambda: (self.edges if kind == "link" else self.parent_edge).select(F.col(pair[0]).alias("at"), F.col(pair[1]).alias("to")).distinct())
+
+    def closure(self, roots: DataFrame | None, up: bool = True, max_generations: int = 0, include_self: bool = False) -> DataFrame:
+        """(root, xref, depth): least depth of every ancestor (or descendant) of the roots, or of everyone where roots is None. Visited pairs are left out, so cycles end and shared ancestors stay single."""
+        step = self.steps("up" if up else "down")
+        if roots is None:
+            out = doubled(self.individuals.select("xref"), step, max_generations)
+        else:
+            out = searched(roots.select(F.col("xref").alias("root"), F.col("xref")).distinct(), step, max_generations, 4)
         return out if include_self else out.filter("depth > 0")
 
     def roots(self, *xrefs) -> DataFrame:
@@ -115,9 +156,9 @@ class Pedigree:
             out = df if out is None else out.unionByName(df)
         return out.groupBy("xref").agg(F.min("p").alias("p")).select("xref", "p.part")
 
-    def kinship(self, people: DataFrame) -> DataFrame:
-        """(a, b, depth_a, depth_b, label, degree, removal) of related pairs among ``people``, by the lowest common ancestor."""
-        c = materialize(self.closure(people, include_self=True))
+    def kinship(self, people: DataFrame | None, max_generations: int = 0) -> DataFrame:
+        """(a, b, depth_a, depth_b, label, degree, removal) of related pairs among ``people``, or everyone, by the lowest common ancestor, at most ``max_generations`` above either (0: any). The nearest ancestor's greater depth decides first, so a limit leaves out farther kin and changes no one's label. The pairs of all kin grow with the square of the people: limit them on large pedigrees."""
+        c = self.closure(people, max_generations=max_generations, include_self=True)
         x, y = c.select(F.col("root").alias("a"), "xref", F.col("depth").alias("da")), c.select(F.col("root").alias("b"), "xref", F.col("depth").alias("db"))
         best = x.join(y, "xref").filter("a != b").groupBy("a", "b").agg(F.min(F.struct(F.greatest("da", "db").alias("g"), (F.col("da") + F.col("db")).alias("s"), "xref", "da", "db")).alias("m")).select("a", "b", F.col("m.da").alias("depth_a"), F.col("m.db").alias("depth_b"))
         deg, rem = F.least("depth_a", "depth_b") - 1, F.abs(F.col("depth_a") - F.col("depth_b"))
@@ -130,16 +171,8 @@ class Pedigree:
 
     def distances(self, sources: DataFrame, max_hops: int = 0) -> DataFrame:
         """(source, node, hops) over family links, by multi-source breadth-first search; source: 'I<xref>'."""
-        e = materialize(self.edges.select("src", "dst").distinct())
-        frontier = materialize(sources.select(F.concat(F.lit("I"), F.col("xref").cast("string")).alias("source")).select("source", F.col("source").alias("node")))
-        out, seen, hops = frontier.withColumn("hops", F.lit(0).cast("long")), frontier, 0
-        while not max_hops or hops < max_hops:
-            hops += 1
-            nxt = materialize(frontier.join(e, frontier.node == e.src).select("source", F.col("dst").alias("node")).distinct().join(seen, ["source", "node"], "left_anti"))
-            if nxt.isEmpty():
-                break
-            out, seen, frontier = out.unionByName(nxt.withColumn("hops", F.lit(hops).cast("long"))), seen.unionByName(nxt), nxt
-        return out
+        start = sources.select(F.concat(F.lit("I"), F.col("xref").cast("string")).alias("root")).distinct()
+        return searched(start.select("root", F.col("root").alias("xref")), self.steps("link"), max_hops, 2).select(F.col("root").alias("source"), F.col("xref").alias("node"), F.col("depth").alias("hops"))
 
     def all_paths(self, a, b, max_length: int = 10) -> DataFrame:
         """(nodes, edge_types, length, path_type) of simple paths from person a to person b; length is required, for paths are exponential in it."""
@@ -159,9 +192,29 @@ class Pedigree:
     def components(self) -> DataFrame:
         """(xref, component): the smallest xref reachable over parents, siblings and spouses; lone people too."""
         pe, se = self.parent_edge, self.spouse_edge
-        c = connected_components(pe.select(F.col("child").alias("u"), F.col("parent").alias("v")).union(se.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+        known = self.individuals.select("xref")
+        kids = self.children.join(known, F.col("child") == known.xref, "left_semi")
+        first = kids.groupBy("family").agg(F.min("child").alias("v"))  # one link each joins the siblings, known parents or not
+        links = pe.select(F.col("child").alias("u"), F.col("parent").alias("v")).union(se.select(F.col("a").alias("u"), F.col("b").alias("v"))).union(kids.join(first, "family").select(F.col("child").alias("u"), "v"))
+        for c in ("u", "v"):
+            links = links.join(known, F.col(c) == known.xref, "left_semi")
+        c = connected_components(links, one_task=500_000)
         return self.individuals.select("xref").join(c, F.col("xref") == c.node, "left").select("xref", F.coalesce("component", "xref").alias("component"))
 
+    def component_of(self, xref) -> DataFrame:
+        c = self.components()
+        return c.join(c.filter(F.col("xref") == xref).select("component"), "component", "left_semi").select("xref")
+
+    def degree_centrality(self) -> DataFrame:
+        """(node, centrality) of people with links: their degree over n - 1."""
+        known = self.individuals.select(F.concat(F.lit("I"), F.col("xref").cast("string")).alias("node"))
+        n = self.individuals.agg(F.count("*").alias("n"))
+        return self.degrees().join(known, "node", "left_semi").join(F.broadcast(n)).select("node", F.round(F.col("degree") / (F.col("n") - 1), 9).alias("centrality"))  # n is one row
+
+    def cousins(self, degree: int) -> DataFrame:
+        """(a, b) whose lowest common ancestor is ``degree`` + 1 generations above both."""
+        return self.kinship(None, degree + 1).filter((F.col("depth_a") == degree + 1) & (F.col("depth_b") == degree + 1)).select("a", "b")
+
     def degrees(self) -> DataFrame:
         """(node, out_degree, in_degree, degree): parallel edges count."""
         e = self.edges

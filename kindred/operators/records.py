@@ -1,17 +1,10 @@
-"""Distinct-by collections, name analytics, duplicates, validation rules and snapshot differences."""
+"""Distinct-by collections and name analytics."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.functions import scalars as S
-
-WEIGHTS = {"name": 0.40, "date": 0.30, "place": 0.15, "sex": 0.05, "relation": 0.10}
-
-
 def distinct_by(df: DataFrame, key: list[str], pick: str) -> DataFrame:
     """One row for each key: that with the least ``pick``. Aggregates before the shuffle, so hot keys are harmless."""
     rest = [c for c in df.columns if c not in key]
@@ -23,181 +16,55 @@ def most_common(people: DataFrame, column: str, n: int = 10) -> DataFrame:
     return people.filter(name != "").groupBy(name.alias("name")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(n if n > 0 else 10)
 
 
-# entity resolution ---------------------------------------------------------------------------------------------------
-
-def block_keys(people: DataFrame) -> DataFrame:
-    """people with ``keys``: phonetic surname with birth year, five-year span, initial and two given letters, and surname head with place."""
-    sx, year = S.soundex(F.col("surname")), F.year("birth_date")
-    given, head = F.lower("given"), F.lower(F.substring("surname", 1, 4))
-    text = lambda tag, *c: F.concat(F.lit(tag), F.concat_ws("|", *c))
-    keys = F.array(
-        F.when(year.isNotNull(), text("P", sx, year.cast("string"))), F.when(year.isNotNull(), text("B", sx, (year / 5).cast("int").cast("string"))),
-        F.when(given != "", text("I", sx, F.substring(given, 1, 1))), F.when(F.length(given) > 1, text("G", sx, F.substring(given, 1, 2))),
-        F.when(F.col("birth_place").isNotNull(), text("X", head, F.lower(F.substring_index("birth_place", ",", 1)))))
-    return people.withColumn("keys", F.array_compact(keys))
-
-
-def block_sizes(people: DataFrame) -> DataFrame:
-    return block_keys(people).select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
-
-
-def candidate_pairs(people: DataFrame, largest: int = 5000) -> DataFrame:
-    """(a, b), a < b, that share a block of at most ``largest`` people, the reference's own limit on blocks."""
-    keyed = block_keys(people).select("xref", F.explode("keys").alias("key"))
-    fine = keyed.groupBy("key").agg(F.count("*").alias("n")).filter((F.col("n") > 1) & (F.col("n") <= largest)).select("key")
-    keyed = keyed.join(fine, "key")
-    a, b = keyed.select("key", F.col("xref").alias("a")), keyed.select("key", F.col("xref").alias("b"))
-    return a.join(b, "key").filter("a < b").select("a", "b").distinct()
-
-
-def candidate_pairs_all(people: DataFrame, chunk: int = 1000) -> DataFrame:
-    """(a, b), a < b, that share a block of any size, those of phonetic surname and neighbouring birth years among them. Blocks are dealt into chunks of about ``chunk`` people and joined chunk by chunk; a pair comes from the least of its common keys, so no pair is dealt again to be made distinct. Blocks of one year lie within those of its span, and those of two letters within those of one: they add no pair."""
-    sx, year = S.soundex(F.col("surname")), F.year("birth_date")
-    near = F.when(year.isNotNull(), F.transform(F.array(year - 1, year, year + 1), lambda y: F.concat_ws("|", F.concat(F.lit("Y"), sx), y.cast("string"))))
-    keyed = block_keys(people).select("xref", F.concat(F.filter("keys", lambda k: ~F.substring(k, 1, 1).isin("P", "G")), F.coalesce(near, F.array().cast("array<string>"))).alias("keys")).withColumn("key", F.explode("keys"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
-    keyed = keyed.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("xref"), F.col("chunks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    a = keyed.select("key", F.col("own").alias("i"), every.alias("j"), F.col("xref").alias("a"), F.col("keys").alias("a_keys"))
-    b = keyed.select("key", every.alias("i"), F.col("own").alias("j"), F.col("xref").alias("b"), F.col("keys").alias("b_keys"))
-    # dealt by hand: rows are few and pairs many, and adaptive execution would put all into one task
-    cells = max(1, int(people.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    a, b = (x.repartition(cells, "key", "i", "j") for x in (a, b))
-    return a.join(b, ["key", "i", "j"]).filter("a < b").filter(F.array_min(F.array_intersect("a_keys", "b_keys")) == F.col("key")).select("a", "b")
-
-
-def name_score(a: Column, b: Column) -> Column:
-    x, y = S.normalize_name(a), S.normalize_name(b)
-    return F.coalesce(F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).otherwise(F.greatest(S.string_similarity(x, y), F.when(x.contains(y) | y.contains(x), 0.6).otherwise(0.0))), F.lit(0.0))
-
-
-def year_score(a: Column, b: Column) -> Column:
-    gap = F.abs(F.year(a) - F.year(b))
-    return F.coalesce(F.when(gap == 0, 1.0).when(gap == 1, 0.9).when(gap == 2, 0.8).when(gap <= 5, 0.7).when(gap <= 10, 0.5).otherwise(0.0), F.lit(0.0))
-
-
-def relation_scores(pairs: DataFrame, p) -> DataFrame:
-    """(a, b, relation_score) of the pairs with shared relatives: parents 0.1 each up to 0.2, a spouse 0.2, children 0.1 each up to 0.3, over 0.7."""
-    links = None
-    for kind in ("parents", "spouses", "children"):
-        part = p.relatives(kind).select(F.lit(kind).alias("kind"), F.col("xref").alias("x"), "relative")
-        links = part if links is None else links.unionByName(part)
-    shared = pairs.select("a", "b").distinct().join(links.withColumnRenamed("x", "a"), "a").join(links.withColumnRenamed("x", "b"), ["b", "kind", "relative"])
-    n = lambda kind: F.count(F.when(F.col("kind") == kind, 1))
-    score = F.least(n("parents") * 0.1, F.lit(0.2)) + F.when(n("spouses") > 0, 0.2).otherwise(0.0) + F.least(n("children") * 0.1, F.lit(0.3))
-    return shared.groupBy("a", "b").agg(F.round(score / 0.7, 6).alias("relation_score"))
-
-
-def score_pairs(pairs: DataFrame, people: DataFrame, threshold: float = 0.6, pedigree=None) -> DataFrame:
-    """(a, b, name_score, date_score, place_score, sex_score, relation_score, score, confidence) of pairs at or above the threshold; the relation score is 0 without a pedigree."""
-    cols = ["name", "birth_date", "birth_place", "sex"]
-    x = people.select(F.col("xref").alias("a"), *[F.col(c).alias(f"a_{c}") for c in cols])
-    y = people.select(F.col("xref").alias("b"), *[F.col(c).alias(f"b_{c}") for c in cols])
-    p = pairs.join(x, "a").join(y, "b")
-    place = F.coalesce(F.when(F.lower("a_birth_place") == F.lower("b_birth_place"), 1.0).otherwise(0.0), F.lit(0.0))
-    sex = F.when(F.col("a_sex").isNull() | F.col("b_sex").isNull(), 0.5).when(F.col("a_sex") == F.col("b_sex"), 1.0).otherwise(0.0)
-    p = p.select("a", "b", name_score(F.col("a_name"), F.col("b_name")).alias("name_score"), year_score(F.col("a_birth_date"), F.col("b_birth_date")).alias("date_score"), place.alias("place_score"), sex.alias("sex_score"))
-    p = p.join(relation_scores(pairs, pedigree), ["a", "b"], "left").fillna(0.0, ["relation_score"]) if pedigree else p.withColumn("relation_score", F.lit(0.0))
-    p = p.withColumn("score", F.round(sum((F.col(f"{k}_score") * w for k, w in WEIGHTS.items()), F.lit(0.0)), 6)).filter(F.col("score") >= threshold)
-    s = F.col("score")
-    return p.withColumn("confidence", F.when(s >= 0.95, "exact").when(s >= 0.85, "high").when(s >= 0.70, "medium").otherwise("low"))
-
-
-# validation -----------------------------------------------------------------------------------------------------------
-
-RULES: dict[str, Callable] = {}
-
-
-def rule(f: Callable) -> Callable:
-    """Registers ``f(pedigree) -> DataFrame(xref, detail)``."""
-    RULES[f.__name__] = f
-    return f
-
-
-def _age(born: Column, at: Column) -> Column:
-    return F.year(at) - F.year(born) - F.when(F.date_format(at, "MMdd") < F.date_format(born, "MMdd"), 1).otherwise(0)
-
-
-@rule
-def missing_birth(p) -> DataFrame:
-    return p.individuals.filter("birth_date is null").select("xref", F.lit(None).cast("long").alias("detail"))
-
-
-@rule
-def death_before_birth(p) -> DataFrame:
-    return p.individuals.filter("death_date < birth_date").select("xref", F.datediff("birth_date", "death_date").cast("long").alias("detail"))
-
-
-@rule
-def parent_age(p, youngest: int = 10, oldest: int = 80) -> DataFrame:
-    """Parents younger than ``youngest`` or older than ``oldest`` at a child's birth."""
-    i = p.individuals.select("xref", "birth_date")
-    c, q = i.toDF("child", "child_birth"), i.toDF("parent", "parent_birth")
-    age = _age(F.col("parent_birth"), F.col("child_birth"))
-    return p.parent_edge.join(c, "child").join(q, "parent").withColumn("detail", age.cast("long")).filter((F.col("detail") < youngest) | (F.col("detail") > oldest)).select(F.col("parent").alias("xref"), "detail")
-
-
-@rule
-def marriage_age(p, youngest: int = 12, oldest: int = 100) -> DataFrame:
-    i = p.individuals.select("xref", "birth_date")
-    f = p.families.select("marriage_date", F.expr("inline(array(struct(husband as xref), struct(wife as xref)))"))
-    return f.join(i, "xref").withColumn("detail", _age(F.col("birth_date"), F.col("marriage_date")).cast("long")).filter((F.col("detail") < youngest) | (F.col("detail") > oldest)).select("xref", "detail")
-
-
-@rule
-def dangling_refs(p) -> DataFrame:
-    """Husbands, wives and children that no person record has."""
-    refs = p.families.select(F.expr("inline(array(struct(husband as xref), struct(wife as xref)))")).union(p.children.select("child")).filter("xref is not null").distinct()
-    return refs.join(p.individuals.select("xref"), "xref", "left_anti").select("xref", F.lit(None).cast("long").alias("detail"))
-
-
-@rule
-def missing_parents(p) -> DataFrame:
-    return p.individuals.join(p.parent_edge.select(F.col("child").alias("xref")), "xref", "left_anti").select("xref", F.lit(None).cast("long").alias("detail"))
-
+def name_keys(people: DataFrame, key: str) -> DataFrame:
+    """(key): the distinct full_name, given, surname, given_surname (``g|s``) or surname_given of people; empty ones left out."""
+    from kindred.functions import scalars as S
 
-SEVERITY = {"death_before_birth": "severe", "dangling_refs": "severe", "parent_age": "warning", "marriage_age": "warning", "missing_birth": "info", "missing_parents": "info"}
+    g, s = F.coalesce("given", F.lit("")), F.coalesce("surname", F.lit(""))
+    of = {"full_name": S.squeeze(F.translate(F.coalesce("name", F.lit("")), "/", "")), "given": g, "surname": s, "given_surname": F.concat(g, F.lit("|"), s), "surname_given": F.concat(s, F.lit("|"), g)}
+    return people.select(of[key].alias("key")).filter("key not in ('', '|')").distinct()
 
 
-def validate(p, names: list[str] | None = None) -> DataFrame:
-    out = None
-    for n in names or list(RULES):
-        part = RULES[n](p).select(F.lit(n).alias("rule"), F.lit(SEVERITY.get(n, "info")).alias("severity"), "xref", "detail")
-        out = part if out is None else out.unionByName(part)
-    return out
+def unique_names(people: DataFrame) -> DataFrame:
+    """(kind, value): the distinct given names and surnames."""
+    part = lambda c: people.filter(F.coalesce(c, F.lit("")) != "").select(F.lit(c).alias("kind"), F.col(c).alias("value"))
+    return part("given").unionByName(part("surname")).distinct()
 
 
-def completeness(people: DataFrame) -> DataFrame:
-    share = lambda c: F.round(F.avg(F.col(c).isNotNull().cast("double")), 6)
-    return people.agg(*[share(c).alias(c) for c in ("name", "birth_date", "death_date", "birth_place", "sex")])
+def places(p, births: bool = True, deaths: bool = True, marriages: bool = True) -> DataFrame:
+    """(source, owner, place): places of births, other events of people, marriages, and always of divorces."""
+    kind = F.when(F.col("type") == "BIRT", "birth").when(F.col("type") == "DEAT", "death").when(F.col("type") == "MARR", "marriage").when(F.col("type") == "DIV", "divorce")
+    wanted = [k for k, w in (("birth", births), ("death", deaths), ("marriage", marriages), ("divorce", True)) if w]
+    return p.events.select(kind.alias("source"), "owner", "place").filter(F.col("source").isin(wanted) & (F.coalesce("place", F.lit("")) != ""))
 
 
-# differences ----------------------------------------------------------------------------------------------------------
+def place_keys(places: DataFrame, key: str) -> DataFrame:
+    """(key): the distinct full_string, city, state, country or city_state of places; a text without parts stands for itself."""
+    from kindred.functions import scalars as S
 
-def diff(old: DataFrame, new: DataFrame, key: str = "xref") -> DataFrame:
-    """(key, change, field, old, new): added and removed records, and one row for each field that differs."""
-    fields = [c for c in old.columns if c != key and c in new.columns]
-    side = lambda df, to: df.select(key, F.struct(*[F.col(c).cast("string").alias(c) for c in fields]).alias(to))
-    j = side(old, "o").join(side(new, "n"), key, "full_outer")
-    rows = F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"o.{c}").alias("old"), F.col(f"n.{c}").alias("new")) for c in fields])
-    one = F.when(F.col("o").isNull() | F.col("n").isNull(), F.array(F.struct(F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("old"), F.lit(None).cast("string").alias("new")))).otherwise(F.filter(rows, lambda r: ~r["old"].eqNullSafe(r["new"])))
-    change = F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").otherwise("modified")
-    return j.select(key, change.alias("change"), F.explode(one).alias("r")).select(key, "change", "r.field", "r.old", "r.new")
+    x = S.parse_place(F.col("place"))
+    of = {"full_string": F.col("place"), "city": x["city"], "state": x["state"], "country": x["country"], "city_state": F.concat(F.coalesce(x["city"], F.lit("")), F.lit("|"), F.coalesce(x["state"], F.lit("")))}
+    return places.select(F.when(F.size(S.place_parts(F.col("place"))) > 0, of[key]).otherwise(F.col("place")).alias("key")).filter("key is not null and key not in ('', '|')").distinct()
 
 
-def match_content(old: DataFrame, new: DataFrame, content: list[str], key: str = "xref") -> DataFrame:
-    """(old_key, new_key, how): records matched by key, and those whose key only one side has by equal content (case-folded, all of it present), where just one such record a side has it. Counting comes before the shuffle, so common content is harmless."""
+FAMILY_KEYS = {"xref": ["family"], "husband": ["husband"], "wife": ["wife"], "children_count": ["n_children"], "marriage_date": ["marriage_date"], "marriage_place": ["marriage_place"], "husband_wife": ["husband", "wife"]}
+EVENT_KEYS = {"id": ["event_id"], "type": ["type"], "date": ["date"], "place": ["place"], "type_date": ["type", "date"], "type_place": ["type", "place"], "owner": ["owner_type", "owner"]}
 
-    def alone(df, other, name):
-        rest = df.join(other.select(key), key, "left_anti").select(key, *[F.lower(F.trim(F.col(c).cast("string"))).alias(c) for c in content]).dropna(subset=content)
-        return rest.groupBy(*content).agg(F.min(key).alias(name), F.count("*").alias("n")).filter("n = 1").drop("n")
 
-    same = old.select(F.col(key).alias("old_key")).join(new.select(F.col(key).alias("new_key")), F.col("old_key") == F.col("new_key")).withColumn("how", F.lit("key"))
-    return same.unionByName(alone(old, new, "old_key").join(alone(new, old, "new_key"), content).select("old_key", "new_key", F.lit("content").alias("how")))
+def unique_families(p, by: str) -> DataFrame:
+    """Families, one for each key (that with the least number); families without the key are left out, but for husband_wife."""
+    counts = p.children.groupBy("family").agg(F.count("*").alias("n_children"))
+    rows = p.families.join(counts, "family", "left").fillna(0, ["n_children"])
+    key = FAMILY_KEYS[by]
+    if by != "husband_wife":
+        rows = rows.filter(F.col(key[0]).isNotNull())
+    return rows if by == "xref" else distinct_by(rows, key, "family")
 
 
-def diff_hybrid(old: DataFrame, new: DataFrame, content: list[str], key: str = "xref") -> DataFrame:
-    """As ``diff``, but records matched by content are compared, not reported as removed and added; their key is the old one."""
-    moved = match_content(old, new, content, key).filter("how = 'content'").select("old_key", "new_key")
-    named = new.join(moved, F.col(key) == F.col("new_key"), "left").withColumn(key, F.coalesce("old_key", key)).select(*new.columns)
-    return diff(old, named, key)
+def unique_events(events: DataFrame, by: str, types: list[str] | None = None) -> DataFrame:
+    """Events of the given types, one for each key (that with the least id); events without the key's first part are left out."""
+    rows = events.filter(F.col("type").isin(types)) if types else events
+    key = EVENT_KEYS[by]
+    for c in key:
+        rows = rows.filter(F.coalesce(F.col(c).cast("string"), F.lit("")) != "")
+    return rows.dropDuplicates(["event_id"]) if by == "id" else distinct_by(rows, key, "event_id")

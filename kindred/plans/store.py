@@ -41,3 +41,12 @@ def spare(taken: list[str], name: str) -> str:
     while name.lower() in low:
         name = "_" + name
     return name
+
+
+def settled(df: DataFrame, columns: dict) -> DataFrame:
+    """``df`` with the columns, worked out once: later expressions read them behind a generator, so the optimizer doesn't write a large expression anew into each of its uses."""
+    from pyspark.sql import functions as F
+
+    name = spare([*df.columns, *columns], "_settled")
+    rest = [c for c in df.columns if c not in columns]
+    return df.withColumn(name, F.explode(F.array(F.struct(*[v.alias(k) for k, v in columns.items()])))).select(*rest, f"{name}.*")
