@@ -48,6 +48,27 @@ def born_on_day(day: int) -> Column:
     return F.lit(True) if not 1 <= day <= 31 else F.dayofmonth("birth_date") == day
 
 
+def born_in_months(first: int, last: int) -> Column:
+    """From one month to another, over the new year where the first is later. Months that don't exist make no filter."""
+    if not (1 <= first <= 12 and 1 <= last <= 12):
+        return F.lit(True)
+    m = F.month("birth_date")
+    return m.between(first, last) if first <= last else (m >= first) | (m <= last)
+
+
+def born_on_days(first: int, last: int) -> Column:
+    if not (1 <= first <= 31 and 1 <= last <= 31):
+        return F.lit(True)
+    d = F.dayofmonth("birth_date")
+    return d.between(first, last) if first <= last else (d >= first) | (d <= last)
+
+
+def born_between_days(first: tuple[int, int], last: tuple[int, int]) -> Column:
+    """(month, day) to (month, day) of any year, over the new year where the first is later."""
+    at, a, b = F.month("birth_date") * 100 + F.dayofmonth("birth_date"), first[0] * 100 + first[1], last[0] * 100 + last[1]
+    return at.between(a, b) if a <= b else (at >= a) | (at <= b)
+
+
 def sex(value: str) -> Column:
     return F.upper("sex") == value.upper()
 
@@ -69,3 +90,19 @@ def with_relatives(people: DataFrame, edges: DataFrame, column: str, want: bool
 def top(people: DataFrame, order: str, n: int) -> DataFrame:
     """Sorted, then limited; missing values last."""
     return people.orderBy(F.col(order).asc_nulls_last(), "xref").limit(n)
+
+
+def word_index(people: DataFrame, *columns: str) -> DataFrame:
+    """(word, xref): the lower-case words of the columns, an inverted index; written by word it serves lookups without a scan."""
+    text = F.lower(F.concat_ws(" ", *columns))
+    return people.select(F.explode(F.array_distinct(F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda w: w != ""))).alias("word"), "xref")
+
+
+def search(index: DataFrame, words: str) -> DataFrame:
+    """(xref) of those that have every word; a word ending in * is a beginning."""
+    conds = [F.col("word").startswith(w[:-1]) if w.endswith("*") else F.col("word") == w for w in words.lower().split()]
+    some, every = F.lit(False), F.lit(True)
+    for i, c in enumerate(conds):
+        some, every = some | c, every & F.col(f"_{i}")
+    found = index.filter(some).groupBy("xref").agg(F.count("*").alias("_n"), *[F.max(c).alias(f"_{i}") for i, c in enumerate(conds)])
+    return found.filter(every).select("xref")

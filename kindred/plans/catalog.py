@@ -16,8 +16,11 @@ from kindred.operators import records as R
 from kindred.operators import rules as V
 from kindred.operators.pedigree import Pedigree
 from kindred.plans.driver_views import SQL, pedigree, table
+from kindred.plans.store import settled
+from kindred.sources import export as E
 
 PERSON, OTHER, FOUNDER = 149, 140, 0
+QUALITY = ["missing_birth", "death_before_birth", "no_partners", "dangling_refs"]
 _QUERIES, _SQL = {}, {}
 
 
@@ -301,14 +304,14 @@ def _diff(p):
     return C.diff(*_snapshots(p))
 
 
-D = f", n AS ({NEW}) "
-add("diff_added", lambda p, *_: _diff(p).filter("change = 'added'").select("xref"), D + "SELECT xref FROM n WHERE xref NOT IN (SELECT xref FROM ind)")
-add("diff_removed", lambda p, *_: _diff(p).filter("change = 'removed'").select("xref"), D + "SELECT xref FROM ind WHERE xref NOT IN (SELECT xref FROM n)")
+SNAP = f", n AS ({NEW}) "
+add("diff_added", lambda p, *_: _diff(p).filter("change = 'added'").select("xref"), SNAP + "SELECT xref FROM n WHERE xref NOT IN (SELECT xref FROM ind)")
+add("diff_removed", lambda p, *_: _diff(p).filter("change = 'removed'").select("xref"), SNAP + "SELECT xref FROM ind WHERE xref NOT IN (SELECT xref FROM n)")
 FIELDS = " UNION ALL ".join(f"SELECT xref, '{c}' AS field, ind.{c} AS old, n.{c} AS new FROM ind JOIN n USING (xref) WHERE ind.{c} IS DISTINCT FROM n.{c}" for c in ("name", "sex", "birth_place"))
-add("diff_fields", lambda p, *_: _diff(p).filter("change = 'modified'").select("xref", "field", "old", "new"), D + FIELDS)
-add("diff_summary", lambda p, *_: _diff(p).groupBy("change").agg(F.countDistinct("xref").alias("n")), D + f"SELECT 'added' AS change, count(*) AS n FROM n WHERE xref NOT IN (SELECT xref FROM ind) UNION ALL SELECT 'removed', count(*) FROM ind WHERE xref NOT IN (SELECT xref FROM n) UNION ALL SELECT 'modified', count(DISTINCT xref) FROM ({FIELDS})")
+add("diff_fields", lambda p, *_: _diff(p).filter("change = 'modified'").select("xref", "field", "old", "new"), SNAP + FIELDS)
+add("diff_summary", lambda p, *_: _diff(p).groupBy("change").agg(F.countDistinct("xref").alias("n")), SNAP + f"SELECT 'added' AS change, count(*) AS n FROM n WHERE xref NOT IN (SELECT xref FROM ind) UNION ALL SELECT 'removed', count(*) FROM ind WHERE xref NOT IN (SELECT xref FROM n) UNION ALL SELECT 'modified', count(DISTINCT xref) FROM ({FIELDS})")
 
-HYBRID = D.rstrip() + """, a AS (SELECT lower(name) AS nm, sex, min(xref) AS x FROM n WHERE xref NOT IN (SELECT xref FROM ind) GROUP BY 1, 2 HAVING count(*) = 1), r AS (SELECT lower(name) AS nm, sex, min(xref) AS x FROM ind WHERE xref NOT IN (SELECT xref FROM n) GROUP BY 1, 2 HAVING count(*) = 1) """
+HYBRID = SNAP.rstrip() + """, a AS (SELECT lower(name) AS nm, sex, min(xref) AS x FROM n WHERE xref NOT IN (SELECT xref FROM ind) GROUP BY 1, 2 HAVING count(*) = 1), r AS (SELECT lower(name) AS nm, sex, min(xref) AS x FROM ind WHERE xref NOT IN (SELECT xref FROM n) GROUP BY 1, 2 HAVING count(*) = 1) """
 add("diff_matches", lambda p, *_: C.match_content(*_snapshots(p), ["name", "sex"]), HYBRID + "SELECT r.x AS old_key, a.x AS new_key, 'content' AS how FROM a JOIN r USING (nm, sex) UNION ALL SELECT xref, xref, 'key' FROM ind JOIN n USING (xref)")
 add("diff_hybrid", lambda p, *_: C.diff_hybrid(*_snapshots(p), ["name", "sex"]).groupBy("change").agg(F.countDistinct("xref").alias("n")), HYBRID.rstrip() + """, m AS (SELECT r.x AS o, a.x AS n FROM a JOIN r USING (nm, sex)),
  y AS (SELECT coalesce(m.o, n.xref) AS xref, name, sex, birth_place FROM n LEFT JOIN m ON m.n = n.xref)
@@ -321,8 +324,63 @@ add("date_parse", lambda p, *_: p.individuals.filter("birth_date is not null").s
     "SELECT xref, CASE xref % 4 WHEN 0 THEN 'about' WHEN 1 THEN 'exact' WHEN 2 THEN 'between' ELSE 'invalid' END AS type, CASE WHEN xref % 4 < 3 THEN year(birth_date) END AS y, CAST(CASE WHEN xref % 4 = 1 THEN 3 END AS BIGINT) AS m, "
     "CASE WHEN xref % 4 = 1 THEN make_date(year(birth_date), 3, day(birth_date)) WHEN xref % 4 < 3 THEN make_date(year(birth_date), 1, 1) END AS earliest, "
     "CASE xref % 4 WHEN 0 THEN make_date(year(birth_date), 12, 31) WHEN 1 THEN make_date(year(birth_date), 3, day(birth_date)) WHEN 2 THEN make_date(year(birth_date) + 2, 12, 31) END AS latest FROM ind WHERE birth_date IS NOT NULL")
-add("place_parse", lambda p, *_: p.individuals.select("xref", S.parse_place(F.concat(F.lit("Town, "), "birth_place")).alias("p")).select("xref", "p.city", "p.state", "p.country"), "SELECT xref, 'Town' AS city, trim(string_split(birth_place, ',')[1]) AS state, trim(string_split(birth_place, ',')[2]) AS country FROM ind")
-add("name_parse", lambda p, *_: p.individuals.select("xref", S.parse_name(F.concat("given", F.lit(" /"), "surname", F.lit("/"))).alias("n")).select("xref", "n.given", "n.surname"), "SELECT xref, given, surname FROM ind")
+add("place_parse", lambda p, *_: p.individuals.select("xref", S.parse_place(F.concat(F.lit("Town, "), "birth_place")).alias("p")).select("xref", "p.city", "p.state", "p.country"), "SELECT xref, CASE WHEN w IS NOT NULL THEN 'Town' END AS city, CASE len(w) WHEN 2 THEN w[1] WHEN 3 THEN w[2] END AS state, CASE len(w) WHEN 2 THEN w[2] WHEN 3 THEN w[3] END AS country FROM (SELECT xref, string_split(birth_place, ', ') AS w FROM ind)")
+add("name_parse", lambda p, *_: p.individuals.select("xref", S.parse_name(F.concat("given", F.lit(" /"), "surname", F.lit("/"))).alias("n")).select("xref", "n.given", "n.surname"), "SELECT xref, CASE WHEN surname IS NULL THEN '' ELSE coalesce(given, '') END AS given, CASE WHEN given IS NULL THEN '' ELSE coalesce(surname, '') END AS surname FROM ind")
+
+KIND = "CASE bt WHEN 3 THEN 'about' WHEN 4 THEN 'before' WHEN 5 THEN 'after' WHEN 6 THEN 'between' WHEN 7 THEN 'from_to' WHEN 9 THEN 'invalid' ELSE 'exact' END"
+born = lambda p: settled(p.individuals.filter("birth_text is not null"), {"_p": S.parse_date(F.col("birth_text"))})
+add("date_kinds", lambda p, *_: born(p).select("xref", "_p.type", D.constraint(F.col("_p")).alias("word"), D.is_range(F.col("_p")).alias("range"), D.is_exact(F.col("_p")).alias("one_day"), F.col("_p.y").cast("long").alias("y"), F.col("_p.y2").cast("long").alias("y2")),
+    f"SELECT xref, {KIND} AS type, CASE WHEN bt IN (3, 4, 5) THEN {KIND} ELSE 'exact' END AS word, bt IN (6, 7) AS range, bt IN (0, 8) AS one_day, CASE WHEN bt <> 9 THEN birth_year END AS y, CASE bt WHEN 6 THEN birth_year + 3 WHEN 7 THEN birth_year + 2 END AS y2 FROM ind WHERE birth_text IS NOT NULL")
+add("date_strings", lambda p, *_: born(p).select("xref", D.to_string(F.col("_p"), F.col("birth_text")).alias("text")), "SELECT xref, CASE bt WHEN 3 THEN 'ABOUT ' || birth_year WHEN 4 THEN 'BEFORE ' || birth_year WHEN 5 THEN 'AFTER ' || birth_year WHEN 7 THEN upper(birth_text) ELSE birth_text END AS text FROM ind WHERE birth_text IS NOT NULL")
+add("date_compared", lambda p, *_: settled(born(p), {"_q": S.parse_date(F.lit("1664"))}).select("xref", D.compare(F.col("_p"), F.col("_q")).alias("sign"), D.is_before(F.col("_p"), F.col("_q")).alias("before"), D.is_after(F.col("_p"), F.col("_q")).alias("after")).filter("not (before and after)").select("xref", "sign"),
+    "SELECT xref, CASE WHEN bt = 9 THEN 0 WHEN e < DATE '1664-01-01' THEN -1 WHEN e > DATE '1664-01-01' THEN 1 ELSE 0 END AS sign FROM (SELECT xref, bt, CASE WHEN bt = 4 THEN DATE '0001-01-01' WHEN bt IN (0, 8) THEN birth_date WHEN bt = 1 THEN make_date(birth_year, month(birth_date), 1) ELSE make_date(birth_year, 1, 1) END AS e FROM ind WHERE birth_text IS NOT NULL)")
+add("place_components", lambda p, *_: p.individuals.select("xref", S.place_component(F.col("birth_place"), 0).alias("first"), S.place_component(F.col("birth_place"), 2).alias("third"), S.place_format(F.col("birth_place"), " / ").alias("text")), "SELECT xref, coalesce(w[1], '') AS first, coalesce(w[3], '') AS third, array_to_string(w, ' / ') AS text FROM (SELECT xref, string_split(birth_place, ', ') AS w FROM ind)")
+add("quality_report", lambda p, *_: V.quality_report(p, QUALITY).drop("name_pct", "birth_date_pct", "birth_place_pct"),
+    ", qi AS (SELECT (SELECT count(*) FROM ind) AS people, (SELECT count(*) FROM fam) AS families, (SELECT count(*) FROM ind WHERE birth_date IS NULL) AS mb, (SELECT count(*) FROM ind WHERE death_date < birth_date) AS db, (SELECT count(*) FROM fam WHERE husband IS NULL AND wife IS NULL) AS np, (SELECT count(DISTINCT x) FROM (SELECT unnest([husband, wife]) AS x FROM fam UNION ALL SELECT child FROM chil) WHERE x IS NOT NULL AND x NOT IN (SELECT xref FROM ind)) AS dr,"
+    " (SELECT 100 * (avg(CAST(name IS NOT NULL AS INT)) + avg(CAST(birth_date IS NOT NULL AS INT)) + avg(CAST(birth_place IS NOT NULL AS INT)) + avg(CAST(death_date IS NOT NULL AS INT))) FROM ind) AS pp, (SELECT 100 * avg(CAST(marriage_date IS NOT NULL AS INT)) FROM fam) AS fp), qr AS (SELECT people, families, db + dr AS severe, np AS warning, mb AS info, mb + db AS date_issues, np AS relation_issues, dr AS reference_issues, round((pp + fp) / 5, 6) AS completeness, round(greatest(0.0, 100 - (mb + db + np + dr) / people * 100), 6) AS consistency, round(greatest(0.0, 100 - (db + dr + np) / people * 100), 6) AS accuracy FROM qi) SELECT *, round(completeness * 0.4 + consistency * 0.3 + accuracy * 0.3, 6) AS overall FROM qr")
+add("recommendations", lambda p, *_: V.recommendations(V.quality_report(p, QUALITY)).filter("advice like 'Fix%' or advice like 'Address%'"), "SELECT unnest(['Fix ' || (mb + db) || ' date consistency issues', 'Fix ' || np || ' relationship issues', 'Fix ' || dr || ' cross-reference issues', 'Address ' || (db + dr) || ' severe errors']) AS advice FROM (SELECT (SELECT count(*) FROM ind WHERE birth_date IS NULL) AS mb, (SELECT count(*) FROM ind WHERE death_date < birth_date) AS db, (SELECT count(*) FROM fam WHERE husband IS NULL AND wife IS NULL) AS np, (SELECT count(DISTINCT x) FROM (SELECT unnest([husband, wife]) AS x FROM fam UNION ALL SELECT child FROM chil) WHERE x IS NOT NULL AND x NOT IN (SELECT xref FROM ind)) AS dr)")
+add("issues_severe", lambda p, *_: V.validate(p, QUALITY, "severe").groupBy("rule").agg(F.count("*").alias("n")), "SELECT 'death_before_birth' AS rule, (SELECT count(*) FROM ind WHERE death_date < birth_date) AS n UNION ALL SELECT 'dangling_refs', (SELECT count(DISTINCT x) FROM (SELECT unnest([husband, wife]) AS x FROM fam UNION ALL SELECT child FROM chil) WHERE x IS NOT NULL AND x NOT IN (SELECT xref FROM ind))")
+add("graph_issues", lambda p, *_: V.graph_issues(p), ", nd AS (SELECT 'I' || xref AS node FROM ind UNION ALL SELECT 'F' || family FROM fam) SELECT 'src_missing' AS check, src, dst FROM edge WHERE src NOT IN (SELECT node FROM nd) UNION ALL SELECT 'dst_missing', src, dst FROM edge WHERE dst NOT IN (SELECT node FROM nd)")
+LINKED = MEM.rstrip() + ", ml AS (SELECT DISTINCT xref, family, CASE role WHEN 'child' THEN 'FAMC' ELSE 'FAMS' END AS tag FROM mem), ol AS (SELECT * FROM ml WHERE xref % 40 <> 1 UNION SELECT xref, 5, 'FAMS' FROM ml WHERE xref % 40 = 2) "
+
+
+def _own_links(p):
+    m = G.members(p).select("xref", "family", F.when(F.col("role") == "child", "FAMC").otherwise("FAMS").alias("tag")).distinct()
+    return m.filter("xref % 40 != 1").union(m.filter("xref % 40 = 2").select("xref", F.lit(5).cast("long"), F.lit("FAMS"))).distinct()
+
+
+add("one_way_links", lambda p, *_: V.one_way_links(_own_links(p), p), LINKED + "SELECT *, 'not_in_family' AS issue FROM (SELECT * FROM ol EXCEPT SELECT * FROM ml) UNION ALL SELECT *, 'not_in_person' FROM (SELECT * FROM ml EXCEPT SELECT * FROM ol)")
+# changes of a pedigree
+add("people_removed", lambda p, *_: M.remove_people(p, p.individuals.filter("xref % 10 = 0").select("xref")).parent_edge.select("child", "parent"), "SELECT child, parent FROM pe WHERE child % 10 <> 0 AND parent % 10 <> 0")
+add("family_removed", lambda p, *_: M.remove_families(p, p.families.filter("family % 10 = 0").select("family")).edges, "SELECT * FROM edge WHERE NOT (src LIKE 'F%0' OR dst LIKE 'F%0')")
+add("child_added", lambda p, *_: M.add_child(p, p.individuals.filter("xref in (3, 6)").select(F.lit(0).cast("long").alias("family"), F.col("xref").alias("child"))).children.filter("family = 0"), "SELECT family, child, ordinal FROM chil WHERE family = 0 UNION ALL SELECT 0, 3, max(ordinal) + 1 FROM chil WHERE family = 0")
+add("person_replaced", lambda p, *_: M.add_people(p, p.individuals.filter("xref < 5").withColumn("name", F.lit("new"))).individuals.select("xref", "name"), "SELECT xref, CASE WHEN xref < 5 THEN 'new' ELSE name END AS name FROM ind")
+add("duplicate_ids", lambda p, *_: M.duplicate_ids(p, p.individuals.filter("xref < 3").select("xref").union(p.individuals.filter("xref < 2").select(F.col("xref") + 5000000))), "SELECT xref FROM ind WHERE xref < 3")
+
+
+def _later(p):
+    """The pedigree with other husbands, dates, places and children here and there."""
+    f = p.families.filter("family % 11 != 3").withColumns({"husband": F.expr("case when family % 5 = 1 then husband + 3 else husband end"), "marriage_date": F.expr("case when family % 4 = 1 then date_add(marriage_date, 365) when family % 4 = 2 then date_add(marriage_date, 3650) else marriage_date end"), "marriage_place": F.expr("case when family % 3 = 1 then upper(marriage_place) when family % 3 = 2 then null else marriage_place end")})
+    people = p.individuals.withColumns({"birth_text": F.expr("case when xref % 6 = 1 then cast(year(birth_date) + 2 as string) when xref % 6 = 2 then cast(year(birth_date) + 9 as string) when xref % 6 = 3 then null else birth_text end"), "birth_place": F.expr("case when xref % 7 = 1 then lower(birth_place) else birth_place end"), "sex": F.expr("case when xref % 9 = 1 then 'U' else sex end")})
+    return Pedigree(people, f, p.children.filter("child % 8 != 1").union(p.children.filter("child % 8 = 3").selectExpr("family", "child + 7000000", "ordinal")))
+
+
+LATER = """, f2 AS (SELECT family, CASE WHEN family % 5 = 1 THEN husband + 3 ELSE husband END AS husband, wife, CASE WHEN family % 4 = 1 THEN marriage_date + 365 WHEN family % 4 = 2 THEN marriage_date + 3650 ELSE marriage_date END AS marriage_date, CASE WHEN family % 3 = 1 THEN upper(marriage_place) WHEN family % 3 = 2 THEN NULL ELSE marriage_place END AS marriage_place FROM fam WHERE family % 11 <> 3),
+ c2 AS (SELECT family, child FROM chil WHERE child % 8 <> 1 UNION ALL SELECT family, child + 7000000 FROM chil WHERE child % 8 = 3), b2 AS (SELECT o.family, o.husband AS h1, n.husband AS h2, o.marriage_date AS d1, n.marriage_date AS d2, o.marriage_place AS p1, n.marriage_place AS p2 FROM fam o JOIN f2 n USING (family)),
+ i2 AS (SELECT xref, sex AS s1, CASE WHEN xref % 9 = 1 THEN 'U' ELSE sex END AS s2, birth_text AS t1, CASE WHEN xref % 6 = 1 THEN CAST(birth_year + 2 AS VARCHAR) WHEN xref % 6 = 2 THEN CAST(birth_year + 9 AS VARCHAR) WHEN xref % 6 = 3 THEN NULL ELSE birth_text END AS t2, bt, birth_year AS y, birth_place AS p1, CASE WHEN xref % 7 = 1 THEN lower(birth_place) ELSE birth_place END AS p2 FROM ind) """
+add("family_diff", lambda p, *_: C.family_diff(p, _later(p)), LATER + """SELECT family, 'removed' AS change, 'family' AS field, CAST(NULL AS VARCHAR) AS old, CAST(NULL AS VARCHAR) AS new FROM fam WHERE family % 11 = 3
+ UNION ALL SELECT family, 'modified', 'husband', CAST(h1 AS VARCHAR), CAST(h2 AS VARCHAR) FROM b2 WHERE h1 IS DISTINCT FROM h2
+ UNION ALL SELECT family, CASE WHEN abs(year(d1) - year(d2)) <= 2 THEN 'equivalent' ELSE 'modified' END, 'marriage_date', CAST(d1 AS VARCHAR), CAST(d2 AS VARCHAR) FROM b2 WHERE d1 IS DISTINCT FROM d2
+ UNION ALL SELECT family, CASE WHEN p2 IS NOT NULL THEN 'equivalent' ELSE 'modified' END, 'marriage_place', p1, p2 FROM b2 WHERE p1 IS DISTINCT FROM p2
+ UNION ALL SELECT family, 'removed', 'child', CAST(child AS VARCHAR), NULL FROM (SELECT family, child FROM chil EXCEPT SELECT * FROM c2) WHERE family IN (SELECT family FROM b2)
+ UNION ALL SELECT family, 'added', 'child', NULL, CAST(child AS VARCHAR) FROM (SELECT * FROM c2 EXCEPT SELECT family, child FROM chil) WHERE family IN (SELECT family FROM b2)""")
+add("person_changes", lambda p, *_: C.person_changes(p.individuals, _later(p).individuals), LATER + """SELECT xref, 'sex' AS field, 'modified' AS change, s1 AS old, s2 AS new FROM i2 WHERE s1 <> s2 UNION ALL SELECT xref, 'birth_place', 'equivalent', p1, p2 FROM i2 WHERE p1 <> p2
+ UNION ALL SELECT xref, 'birth_text', CASE WHEN bt <> 9 AND t2 IS NOT NULL AND xref % 6 = 1 THEN 'equivalent' ELSE 'modified' END, t1, t2 FROM i2 WHERE coalesce(t1, '') <> coalesce(t2, '')""")
+
+for name, cond, sql in [("birth_months", lambda: f.born_in_months(11, 2), "month(birth_date) >= 11 OR month(birth_date) <= 2"), ("birth_days", lambda: f.born_on_days(3, 9), "day(birth_date) BETWEEN 3 AND 9"), ("birth_days_of_year", lambda: f.born_between_days((12, 20), (1, 10)), "month(birth_date) * 100 + day(birth_date) >= 1220 OR month(birth_date) * 100 + day(birth_date) <= 110")]:
+    add(name, lambda p, *_, cond=cond: p.individuals.filter(cond()).select(*COLS), f"SELECT xref, name FROM ind WHERE {sql}")
+add("full_text", lambda p, *_: f.search(f.word_index(p.individuals, "name", "birth_place"), "ma* england york"), "SELECT xref FROM ind WHERE regexp_matches(lower(concat_ws(' ', name, birth_place)), '(^|[^a-z])ma') AND regexp_matches(lower(concat_ws(' ', name, birth_place)), '(^|[^a-z])england($|[^a-z])') AND regexp_matches(lower(concat_ws(' ', name, birth_place)), '(^|[^a-z])york($|[^a-z])')")
+add("people_rows", lambda p, *_: E.csv_rows(p).select("xref", "father", "mother", "spouses", "children"), "SELECT xref, (SELECT min(parent) FROM pe WHERE child = xref AND role = 'father') AS father, (SELECT min(parent) FROM pe WHERE child = xref AND role = 'mother') AS mother, (SELECT string_agg(CAST(b AS VARCHAR), '; ' ORDER BY b) FROM (SELECT DISTINCT a, b FROM se) WHERE a = xref) AS spouses, (SELECT string_agg(CAST(child AS VARCHAR), '; ' ORDER BY child) FROM (SELECT DISTINCT parent, child FROM pe) WHERE parent = xref) AS children FROM ind")
 
 
 def queries():
