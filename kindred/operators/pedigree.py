@@ -8,26 +8,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.operators.components import connected_components
-from kindred.plans.store import join_small, materialize
+from kindred.plans.store import materialize
+
+
+#: Edges that a search broadcasts: their count is taken first, two longs (or short node names) each.
+STEPS = 1_000_000
 
 
 def searched(start: DataFrame, step: DataFrame, limit: int, stride: int) -> DataFrame:
     """start(root, xref) -> (root, xref, depth): least depth of what the steps reach, ``limit`` deep (0: all). A job goes ``stride`` levels on; what was seen is left out after each job, so only pairs at a job's last level are gone on from."""
     seen = frontier = materialize(start.select("root", "xref", F.lit(0).cast("long").alias("depth")))
     depth = 0
+    step = F.broadcast(step) if step.limit(STEPS + 1).count() <= STEPS else step
     while not limit or depth < limit:
         now, found = frontier.select("root", "xref"), None
         last = min(depth + stride, limit) if limit else depth + stride
         for d in range(depth + 1, last + 1):
-            now = join_small(now, step, now.xref == step["at"], "inner", 2_000_000).select("root", F.col("to").alias("xref"))
+            now = now.join(step, now.xref == step["at"]).select("root", F.col("to").alias("xref"))
             part = now.withColumn("depth", F.lit(d).cast("long"))
             found = part if found is None else found.unionByName(part)
         new = materialize(found.groupBy("root", "xref").agg(F.min("depth").alias("depth")).join(seen, ["root", "xref"], "left_anti"))
-        frontier = materialize(new.filter(F.col("depth") == last)) if last - depth > 1 else new
-        if new.isEmpty():
-            break
+        frontier = new.filter(F.col("depth") == last)
         seen, depth = seen.unionByName(new), last
-        if frontier.isEmpty():
+        if frontier.isEmpty():  # all that is nearer is in ``new``
             break
     return seen
 
