@@ -299,6 +299,33 @@ def structure_issues(every: DataFrame) -> DataFrame:
     return out.select("file_id", "record", "xref", "i.severity", "i.rule")
 
 
+# The tags that records, events and names may have.
+PERSON_EVENTS = ["BIRT", "CHR", "DEAT", "BURI", "CREM", "ADOP", "BAPM", "BARM", "BASM", "BLES", "CHRA", "CONF", "FCOM", "ORDN", "NATU", "EMIG", "IMMI", "CENS", "PROB", "WILL", "GRAD", "RETI", "EVEN"]
+PERSON_TAGS = ["RESN", "NAME", "SEX", "ALIA", "ASSO", "ANCI", "DESI", "RFN", "AFN", "REFN", "RIN", "CHAN", "NOTE", "SOUR", "OBJE", "FAMS", "FAMC", "CAST", "DSCR", "EDUC", "IDNO", "NATI", "NCHI", "NMR", "OCCU", "PROP", "RELI", "RESI", "TITL", "FACT", "BAPL", "CONL", "ENDL", "SLGC"]
+FAMILY_EVENTS = ["ANUL", "CENS", "DIV", "DIVF", "ENGA", "MARB", "MARC", "MARR", "MARL", "MARS", "EVEN"]
+FAMILY_TAGS = ["RESN", "FAMS", "FAMC", "HUSB", "WIFE", "CHIL", "NCHI", "SUBM", "SLGS", "REFN", "RIN", "CHAN", "NOTE", "SOUR", "OBJE"]
+HEADER_TAGS = ["GEDC", "CHAR", "SOUR", "DATE", "TIME", "FILE", "LANG", "SUBM", "SUBN", "COPR", "DEST", "NOTE"]
+EVENT_TAGS = ["TYPE", "DATE", "PLAC", "ADDR", "AGE", "AGNC", "CAUS", "SOUR", "NOTE", "OBJE"]
+NAME_TAGS = ["NPFX", "GIVN", "NICK", "SPFX", "SURN", "NSFX", "SOUR", "NOTE", "FONE", "ROMN"]
+
+
+def tag_issues(every: DataFrame) -> DataFrame:
+    """``lines`` -> (file_id, xref, severity, rule, tag, line_no): tags that people, families, headers, their events and names may not have. Tags that begin with an underscore are anyone's own."""
+    keys = ["file_id", "record"]
+    heads = every.filter("level = 0").select(*keys, "xref", F.col("tag").alias("kind"))
+    strange = lambda allowed: ~F.col("tag").isin(allowed) & ~F.col("tag").startswith("_")
+    tops = heads.join(every.filter("level = 1").drop("xref"), keys)
+    first = (F.col("kind") == "INDI") & strange(PERSON_TAGS + PERSON_EVENTS) | (F.col("kind") == "FAM") & strange(FAMILY_TAGS + FAMILY_EVENTS)
+    head = (F.col("kind") == "HEAD") & strange(HEADER_TAGS)
+    out = tops.filter(first | head).select("file_id", "xref", F.when(head, "warning").otherwise("severe").alias("severity"), F.lit("tag_unknown").alias("rule"), "tag", "line_no")
+    above = tops.select(*keys, "xref", "kind", F.col("tag").alias("above"), F.col("line_no").alias("parent_line_no"))
+    subs = above.join(every.filter("level = 2").drop("xref"), [*keys, "parent_line_no"])
+    event = (F.col("kind") == "INDI") & F.col("above").isin(PERSON_EVENTS) | (F.col("kind") == "FAM") & F.col("above").isin(FAMILY_EVENTS)
+    name = (F.col("kind") == "INDI") & (F.col("above") == "NAME")
+    bad = event & strange(EVENT_TAGS) | name & strange(NAME_TAGS)
+    return out.unionByName(subs.filter(bad).select("file_id", "xref", F.lit("warning").alias("severity"), F.lit("subtag_unknown").alias("rule"), "tag", "line_no"))
+
+
 def write(df: DataFrame, path: str, kind: str = "json") -> None:
     """JSON, CSV (with header), XML or YAML rows; lists are joined for CSV."""
     if kind == "csv":

@@ -333,6 +333,12 @@ def test_structure_issues(spark, tmp_path):
     assert found("good.ged") == set()
 
 
+def test_tag_issues(spark, tmp_path):
+    (tmp_path / "t.ged").write_text("0 HEAD\n1 WHAT x\n1 _OWN y\n0 @I@ INDI\n1 NAME A /B/\n2 GIVN A\n2 XXXX z\n1 MARR\n1 BIRT\n2 DATE 1800\n2 FORM q\n2 _X q\n0 @F@ FAM\n1 HUSB @I@\n1 BIRT\n0 @N@ NOTE t\n1 ANY x\n0 TRLR\n")
+    got = {(r.xref, r.severity, r.rule, r.tag) for r in gedcom.tag_issues(gedcom.lines(spark, str(tmp_path / "t.ged"))).collect()}
+    assert got == {(None, "warning", "tag_unknown", "WHAT"), ("@I@", "warning", "subtag_unknown", "XXXX"), ("@I@", "severe", "tag_unknown", "MARR"), ("@I@", "warning", "subtag_unknown", "FORM"), ("@F@", "severe", "tag_unknown", "BIRT")}
+
+
 def test_yaml(spark, tmp_path):
     rows = [(1, 'a "b": c\nd\\', ["x", "y"]), (2, None, None), (None, None, None)]
     d = spark.createDataFrame(rows, 'id long, `na"me:` string, tags array<string>')
