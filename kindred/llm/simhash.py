@@ -50,8 +50,13 @@ def shingle_hashes(words: list[bytes], seed: int, shingle: int, block: int = 1 <
 
 
 def fingerprint(text: str | None, seed: int = 42, shingle: int = 3) -> int:
+    return fingerprint_of(shingle_hashes(words_of(text), seed, shingle))
+
+
+def fingerprint_of(hashes) -> int:
+    """The fingerprint of shingles whose hashes come in arrays, repeats included."""
     tally, n = np.zeros(64, np.int64), 0
-    for h in shingle_hashes(words_of(text), seed, shingle):
+    for h in hashes:
         tally += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
         n += len(h)
     return int.from_bytes(np.packbits(2 * tally > n).tobytes(), "big")
@@ -155,15 +160,18 @@ def fingerprint_links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
     return few.union(_links(rows.filter(F.col("n") > crowd).select("fp", F.explode(again).alias("key")), looked_up))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> (doc_id, fp, component_id): the smallest doc_id reachable over links."""
-    fps = materialize(fingerprints(docs))
-    least = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+def fingerprint_classes(least: DataFrame) -> DataFrame:
+    """(fp, least): distinct fingerprints with the smallest id that has each -> (fp, component_id), the smallest id reachable over links."""
     comps = connected_components(fingerprint_links(least.select("fp")))
     by = least.join(comps, least.fp == comps.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     roots = by.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = materialize(by.join(roots, "component").select("fp", "component_id"))
-    return fps.join(of, "fp")
+    return materialize(by.join(roots, "component").select("fp", "component_id"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) -> (doc_id, fp, component_id): the smallest doc_id reachable over links."""
+    fps = materialize(fingerprints(docs))
+    return fps.join(fingerprint_classes(materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))), "fp")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

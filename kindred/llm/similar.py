@@ -1,8 +1,11 @@
 """Near-copies of the pipeline: classes of documents linked by a Jaccard similarity of at least 0.8 over their sets of five-word shingles.
 
-Documents of equal words are folded first. MinHash only finds candidates: 30 bands of 5 rows, of which a pair at 0.8 shares none
-with a chance of (1 - 0.8 ** 5) ** 30 = 7 in a million, a closer pair with a lesser one. Each class of candidates is then
-verified on its shingles: no link rests on a band, and within a class of candidates none is left out.
+Documents of equal words are folded first. Each gets a SimHash fingerprint of its five-word shingles, and operator 2's inverted
+index of positional bytes, with its count filter and check of the bits, finds every pair at most 2 bits apart: its classes are
+candidates. Texts of similarity 0.8 lie up to 11 bits apart and more, beyond what shared bytes can guarantee, so MinHash adds
+candidates: 30 bands of 5 rows, of which a pair at 0.8 shares none with a chance of (1 - 0.8 ** 5) ** 30 = 7 in a million, a closer
+pair with a lesser one. Each class of both kinds of candidates together is then verified on its shingles: no link rests on a
+fingerprint or band, and within a class of candidates none is left out.
 A class of over CHUNK documents is verified in many tasks of bounded size. First each member is compared with one of them, the
 pivot. Those within 0.2 (the distance is 1 - similarity) are linked to it. The distance is a metric: a member at distance d of the
 pivot can only have a link with one whose distance is at most d + 0.2, so linked members that are nearer to the pivot than any
@@ -21,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.simhash import shingle_hashes, words_of
+from kindred.llm.simhash import fingerprint_classes, fingerprint_of, shingle_hashes, words_of
 from kindred.operators.components import connected_components
 from kindred.plans.store import join_small, materialize
 
@@ -111,8 +114,8 @@ def large_class_links(texts: DataFrame, large: DataFrame, kind: str, chunk: int)
     return links.union(blocks.groupBy("group", "at").applyInArrow(class_links, f"u {kind}, v {kind}"))
 
 
-def near_copies(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, text) -> (doc_id, component_id): the smallest doc_id of the document's class, for each row with a doc_id."""
+def near_copies(docs: DataFrame, chunk: int = CHUNK, banded: bool = True) -> DataFrame:
+    """(doc_id, text) -> (doc_id, component_id): the smallest doc_id of the document's class, for each row with a doc_id. Unless ``banded``, candidates are those of the fingerprints alone."""
     kind = dict(docs.dtypes)["doc_id"]
     docs = docs.filter("doc_id is not null").select("doc_id", "text")
 
@@ -120,15 +123,19 @@ def near_copies(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
         for b in batches:
             texts = b.column(1).to_pylist()
             same = [xxhash.xxh128_digest(b" ".join(words_of(t))) for t in texts]
-            keys = [bands(shingles(t)).tolist() for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "same", "bands"])
-
-    sketches = materialize(docs.mapInArrow(sketch, f"doc_id {kind}, same binary, bands array<long>"))
-    folded = materialize(sketches.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")))
+            hashes = [list(shingle_hashes(words_of(t), 42, WORDS)) for t in texts]
+            fps = np.array([fingerprint_of(h) for h in hashes], np.uint64).view(np.int64)
+            keys = [bands(np.unique(np.concatenate([np.empty(0, np.uint64), *h]))).tolist() if banded else [] for h in hashes]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), pa.array(fps), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "same", "fp", "bands"])
+
+    sketches = materialize(docs.mapInArrow(sketch, f"doc_id {kind}, same binary, fp long, bands array<long>"))
+    folded = materialize(sketches.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    alike = fingerprint_classes(materialize(folded.groupBy("fp").agg(F.min("id").alias("least"))))
+    near = join_small(folded.select("id", "fp"), alike, "fp", "inner").filter("id != component_id").select(F.col("id").alias("u"), F.col("component_id").alias("v"))
     keyed = folded.select("id", F.posexplode("bands").alias("band", "key"))
     first = materialize(keyed.groupBy("band", "key").agg(F.min("id").alias("v"), F.count("*").alias("n")).filter("n > 1").drop("n"))
     pairs = join_small(keyed, first, ["band", "key"], "inner").filter("id != v").select(F.col("id").alias("u"), "v")
-    candidates = materialize(connected_components(pairs).select(F.col("node").alias("id"), F.col("component").alias("group")))
+    candidates = materialize(connected_components(near.union(pairs)).select(F.col("node").alias("id"), F.col("component").alias("group")))
     own = docs.join(candidates, docs.doc_id == candidates.id).select("id", "text", "group")
     large = materialize(candidates.groupBy("group").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).filter(F.col("n") > chunk))
     small = join_small(own, large.select("group"), "group", "left_anti")

@@ -542,3 +542,27 @@ def test_quality_hosts(spark):
 
 def got_stats(spark, docs):
     return quality.document_stats(docs.select("doc_id", "text", "source"))
+
+
+def test_near_copies_by_fingerprints_alone(spark):
+    """Without bands, the candidates are texts whose five-word fingerprints lie at most 2 bits apart, still verified on their shingles."""
+    import random
+
+    from kindred.llm import similar, simhash
+
+    rng = random.Random(5)
+    texts = []
+    for _ in range(6):
+        words = [f"w{rng.randrange(3000)}" for _ in range(300)]
+        texts += [" ".join(words[:k] + words[k + 1 :]) for k in (0, 100, 200)] + [" ".join(words)]
+    texts += ["one two three", "ONE two  three", None, ""]
+    fps, sets = [simhash.fingerprint(t, 42, 5) for t in texts], [set(similar.shingles(t).tolist()) for t in texts]
+    want = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if bin(fps[i] ^ fps[j]).count("1") <= 2 and (sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
+                low, high = sorted((want[i], want[j]))
+                want = [low if x == high else x for x in want]
+    assert 3 < len(texts) - len(set(want))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in similar.near_copies(docs, banded=False).collect()} == dict(enumerate(want))
