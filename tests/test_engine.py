@@ -114,6 +114,34 @@ def test_kinship_of_everyone(spark, people_200):
     assert cousins == {k for k, v in want.items() if v == (2, 2)} and max(cousins)[0] >= 150
 
 
+def test_kin_by_rows(spark, monkeypatch):
+    """Rows of arrays give what joins below each common ancestor give: marriages across generations and among kin, up to three parents, people of no family, a parent and an xref without a record, descendants listed or searched for, blocks of any size."""
+    import random
+
+    from kindred.operators import kin
+    from kindred.operators.pedigree import Pedigree
+
+    rng = random.Random(5)
+    ids = rng.sample(range(-300, 3000), 90)
+    fams = [(k, ids[rng.randrange(k + 2)], 7000 if k == 3 else ids[rng.randrange(k + 2)]) for k in range(60)]
+    kids = [(rng.randrange(k), ids[k + 2], 0) for k in range(1, 60)] + [(rng.randrange(k), ids[k + 2], 0) for k in range(2, 60, 4)] + [(5, 8000, 0)]
+    people = lambda ids: spark.createDataFrame([(x,) for x in ids], "xref long")
+    made = lambda ids, fams, kids: Pedigree(people(ids), spark.createDataFrame(fams, "family long, husband long, wife long"), spark.createDataFrame(kids, "family long, child long, ordinal long"))
+    p = made([*ids, None], fams, kids)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    want = rows(p._kin_by_joins(None, 0))
+    assert len(want) > 2000 and any(a != b and min(a, b) > 0 for _, _, a, b in want)
+    for listed, held in ((kin.LISTED, kin.HELD), (10, 1)):
+        monkeypatch.setattr(kin, "LISTED", listed)
+        monkeypatch.setattr(kin, "HELD", held)
+        assert rows(kin.pairs(p.individuals, p.steps("up"))) == want
+    assert rows(p.kinship(None).select("a", "b", "depth_a", "depth_b")) == want
+    assert rows(made([], [], []).kinship(None)) == []
+    loop = made([1, 2, 3, 4], [(1, 1, None), (2, 2, None), (3, 3, None)], [(1, 2, 0), (2, 1, 0), (3, 4, 0)])
+    assert kin.pairs(loop.individuals, loop.steps("up")) is None
+    assert rows(loop.kinship(None).select("a", "b", "depth_a", "depth_b")) == rows(loop._kin_by_joins(None, 0)) != []
+
+
 def test_path_metrics_of_everyone(spark, people_200):
     p = catalog.pedigree(spark, people_200)
     near = {}
